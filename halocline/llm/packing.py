@@ -109,9 +109,8 @@ def column_generation(demand: np.ndarray, max_columns: int = 6000) -> list[tuple
         pivot = inverse[out] / step[out]
         inverse = inverse - np.outer(step, pivot)
         inverse[out] = pivot
-        if turn % 500 == 499:  # against rounding errors
-            inverse = np.linalg.inv(patterns)
-            amount = np.maximum(inverse @ need, 0)
+        if turn % 500 == 499 and np.abs((patterns * amount).sum(axis=1) - need).max() > 1e-6 * need.max():
+            break  # rounding errors: the plan below only rounds down what is there, so it stays whole
     found = []
     for j in range(m):
         full = np.zeros(units, int)
