@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import orc_tokens, packing, source_schedule
+from . import orc_tokens, packing, source_schedule, warc, weak_supervision
 from .common import scratch_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -33,9 +33,30 @@ def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.digests(orc_tokens.read_orc(spark, path))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(table(spark, sf_dir, "pages")).where("NOT is_gap")
+    header = lambda name: F.element_at("headers", name)
+    page = lambda name: F.regexp_extract(header(name), "page:(-?[0-9]+)", 1).cast("long")
+    return records.select(page("WARC-Record-ID").alias("page_id"), header("X-Payload-Length").cast("long").alias("payload_bytes"), F.substring(header("WARC-Payload-Digest"), 8, 64).alias("payload_digest"), header("WARC-Type").alias("record_type"), F.when(header("WARC-Type") == "revisit", page("WARC-Refers-To")).alias("refers_to"))
+
+
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weak_supervision.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op9_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_schedule.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_orc_tokens, op9_source_schedule)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op6_orc_tokens, op7_warc, op8_weak_supervision, op9_source_schedule)}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        q AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+        g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM q)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > least THEN least END AS refers_to
+        FROM g""",
+}
