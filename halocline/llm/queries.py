@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import orc_tokens, packing, source_schedule, warc, weak_supervision
+from . import cotraining, html_main_text, jpeg_media, orc_tokens, packing, ppm_langid, source_schedule, warc, weak_supervision
 from .common import scratch_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -27,6 +27,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg_media.digests(jpeg_media.store_media(table(spark, sf_dir, "documents")))
+
+
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "orc")
     orc_tokens.write_orc(table(spark, sf_dir, "documents"), path, vocabulary(WORD_BPE))
@@ -49,7 +61,11 @@ def op9_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_schedule.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_orc_tokens, op7_warc, op8_weak_supervision, op9_source_schedule)}
+def op10_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_jpeg_media, op4_html_main_text, op5_cotraining, op6_orc_tokens, op7_warc, op8_weak_supervision, op9_source_schedule, op10_ppm_langid)}
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),

@@ -12,6 +12,7 @@ rows; extra columns of the input are ignored.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,15 +23,20 @@ SPACES = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
 LEAST = 0.5
 ROUNDS = 60
+#: Prior of a rule's votes (bad, abstain, good) in good and in bad documents, and its weight as a share of the documents.
+#: No rule is taken to fail more than FALSE_ALARMS of the good documents.
+FALSE_ALARMS = 0.001
+PRIOR_GOOD, PRIOR_BAD, PRIOR_WEIGHT = (0.002, 0.499, 0.499), (0.3, 0.35, 0.35), 0.1
 
-#: Rule: (measure, bad if, good if); in between it abstains.
+#: Rule: (measure x, bad if, good if); in between it abstains. Rules that only find faults never vote good.
 RULES = {
-    "few_words": ("n_words", "x < 20", "x >= 40"),
-    "symbols": ("n_symbols / greatest(n_words, 1)", "x > 0.2", "x < 0.05"),
-    "shouting": ("n_marks / greatest(n_words, 1)", "x > 0.5", "x < 0.1"),
-    "repeated_lines": ("n_dup_lines / greatest(n_lines, 1)", "x > 0.3", "x < 0.1"),
-    "repeated_words": ("n_repeat_words / greatest(n_words, 1)", "x > 0.3", "x < 0.1"),
-    "word_length": ("word_chars / greatest(n_words, 1)", "x < 2 OR x > 20", "x BETWEEN 3 AND 14"),
+    "few_words": ("n_words", "x < 5", "x >= 40"),
+    "symbols": ("n_symbols / greatest(n_words, 1)", "x > 0.2", "FALSE"),
+    "shouting": ("n_marks / greatest(n_words, 1)", "x > 0.5", "FALSE"),
+    "repeated_lines": ("n_dup_lines / greatest(n_lines, 1)", "x > 0.3", "FALSE"),
+    "repeated_words": ("n_repeat_words / greatest(n_words, 1)", "x > 0.3", "FALSE"),
+    "word_length": ("word_chars / greatest(n_words, 1)", "x NOT BETWEEN 2 AND 20", "x BETWEEN 3 AND 14"),
+    "punctuated": ("if(n_stops = 0 AND n_words < 40, 0.01, n_stops / greatest(n_words, 1))", "x = 0 OR x > 1.2", "x BETWEEN 0.02 AND 0.5"),
 }
 
 
@@ -48,45 +54,46 @@ COVERED = f"aggregate({TWICE}, struct(0L AS n, 0L AS upto), (a, p) -> struct(a.n
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_marks, n_lines, n_dup_lines, n_repeat_words) of whole texts."""
+    """(doc_id, n_words, word_chars, n_symbols, n_marks, n_stops, n_lines, n_dup_lines, n_repeat_words) of whole texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     less = lambda chars: f"length(t) - length(translate(t, {_sql(chars)}, ''))"
     lines = f"transform(array(filter(split(t, '\\n'), x -> btrim(x, {_sql(SPACES)}) <> '')), l -> struct(size(l) AS n, size(l) - size(array_distinct(l)) AS dup))[0]"
     words = f"transform(array({WORDS}), w -> struct(size(w) AS n, transform(array({WINDOWS}), h -> if(size(array_distinct(h)) = size(h), 0L, {COVERED}))[0] AS rep))[0]"
-    made = rows.select("doc_id", F.expr(f"length(translate(t, {_sql(SPACES)}, ''))").alias("word_chars"), F.expr(less(SYMBOLS)).alias("n_symbols"), F.expr(less("!")).alias("n_marks"), F.expr(lines).alias("l"), F.expr(words).alias("w"))
-    columns = {"n_words": "w.n", "word_chars": "word_chars", "n_symbols": "n_symbols", "n_marks": "n_marks", "n_lines": "l.n", "n_dup_lines": "l.dup", "n_repeat_words": "w.rep"}
+    made = rows.select("doc_id", F.expr(f"length(translate(t, {_sql(SPACES)}, ''))").alias("word_chars"), F.expr(less(SYMBOLS)).alias("n_symbols"), F.expr(less("!")).alias("n_marks"), F.expr(less(".,")).alias("n_stops"), F.expr(lines).alias("l"), F.expr(words).alias("w"))
+    columns = {"n_words": "w.n", "word_chars": "word_chars", "n_symbols": "n_symbols", "n_marks": "n_marks", "n_stops": "n_stops", "n_lines": "l.n", "n_dup_lines": "l.dup", "n_repeat_words": "w.rep"}
     return made.select("doc_id", *[F.col(c).cast("long").alias(n) for n, c in columns.items()])
 
 
 def votes(rows: DataFrame) -> list[Column]:
     """A column of 1, 0 or -1 for each rule."""
-    out = []
-    for name, (measure, bad, good) in RULES.items():
-        x = f"({measure})"
-        out.append(F.expr(f"CASE WHEN {bad.replace('x', x, 1) if ' OR ' not in bad else ' OR '.join(p.replace('x', x, 1) for p in bad.split(' OR '))} THEN -1 WHEN {good.replace('x', x, 1)} THEN 1 ELSE 0 END").cast("int").alias(name))
-    return out
+    say = lambda test, x: re.sub(r"\bx\b", f"({x})", test)
+    return [F.expr(f"CASE WHEN {say(bad, x)} THEN -1 WHEN {say(good, x)} THEN 1 ELSE 0 END").cast("int").alias(name) for name, (x, bad, good) in RULES.items()]
 
 
 def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """(share of good documents, for each rule: vote -> (probability if good, probability if bad)).
 
-    It starts from the majority of the votes, ties good, and counts are smoothed by one half."""
+    It starts from one class for the patterns without a bad vote and one for the others; the prior keeps a small
+    kind of bad documents, which one rule alone finds, from joining the good ones."""
     if not patterns:
         return 0.5, []
     k = len(patterns[0][0])
-    post = [0.9 if sum(v) >= 0 else 0.1 for v, _ in patterns]
+    post = [0.1 if -1 in v else 0.9 for v, _ in patterns]
     total = sum(n for _, n in patterns)
+    weight = PRIOR_WEIGHT * total
     share, tables = 0.5, []
     for _ in range(rounds):
         good = sum(p * n for p, (_, n) in zip(post, patterns, strict=True))
         share = (good + 0.5) / (total + 1)
         tables = []
         for r in range(k):
-            seen = {v: [0.5, 0.5] for v in (-1, 0, 1)}
+            seen = {v: [a * weight, b * weight] for v, a, b in zip((-1, 0, 1), PRIOR_GOOD, PRIOR_BAD, strict=True)}
             for p, (v, n) in zip(post, patterns, strict=True):
                 seen[v[r]][0] += p * n
                 seen[v[r]][1] += (1 - p) * n
-            tables.append({v: (a / (good + 1.5), b / (total - good + 1.5)) for v, (a, b) in seen.items()})
+            alarms = (good + weight) * FALSE_ALARMS
+            seen[-1][0] = min(seen[-1][0], alarms)
+            tables.append({v: (a / (good + weight), b / (total - good + weight)) for v, (a, b) in seen.items()})
         odds = [math.log(share / (1 - share)) + sum(math.log(tables[r][v[r]][0] / tables[r][v[r]][1]) for r in range(k)) for v, _ in patterns]
         post = [1 / (1 + math.exp(-max(-500.0, min(500.0, o)))) for o in odds]
     return share, tables
