@@ -178,28 +178,50 @@ def cotrain(views: list[np.ndarray], label: np.ndarray, rounds: int = ROUNDS, gr
     return [(w, *calibration(margin(v[aside], w), label[aside])) for v, w in zip(views, weights, strict=True)]
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, least: float = LEAST) -> DataFrame:
-    """(doc_id, content_score, metadata_score, quality, kept) for every row of docs (doc_id, text, lang, source)."""
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL):
+    """The two calibrated views, sent to the workers; None without labels of both classes."""
     sample = sample_features(docs, labels, labelled, pool).sort_values("doc_id")
     model = None
     if len(sample):
         label = sample["label"].fillna(-1).to_numpy(int)
         model = cotrain([np.array(sample[v].tolist(), np.float32) for v in ("content", "metadata")], label)
-    sent = spark.sparkContext.broadcast(model)
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
+def scores(model, texts: pa.Array, langs: pa.Array, sources: pa.Array) -> np.ndarray:
+    """(content, metadata, both) probabilities of being good, of every row."""
+    data, offsets = text_bytes(texts)
+    out = np.full((3, len(texts)), 0.5)
+    for a, b in chunks(offsets):
+        if model is not None:
+            d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            made = (content_view(d, o), metadata_view(d, o, langs.slice(a, b - a).to_pylist(), sources.slice(a, b - a).to_pylist()))
+            odds = [slope * margin(x, w) + intercept for x, (w, slope, intercept) in zip(made, model, strict=True)]
+            out[:, a:b] = [1 / (1 + np.exp(-np.clip(x, -500, 500))) for x in (*odds, (odds[0] + odds[1]) / 2)]
+    return out
+
+
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, least: float = LEAST) -> DataFrame:
+    """(doc_id, content_score, metadata_score, quality, kept) for every row of docs (doc_id, text, lang, source)."""
+    sent = fit(docs, labels, labelled, pool)
 
     def score(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            for a, b in chunks(offsets):
-                d, o, part = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch.slice(a, b - a)
-                odds = [np.zeros(b - a)] * 2
-                if sent.value is not None:
-                    made = (content_view(d, o), metadata_view(d, o, part.column(2).to_pylist(), part.column(3).to_pylist()))
-                    odds = [slope * margin(x, w) + intercept for x, (w, slope, intercept) in zip(made, sent.value, strict=True)]
-                p = [1 / (1 + np.exp(-np.clip(x, -500, 500))) for x in (*odds, (odds[0] + odds[1]) / 2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, p), pa.array(p[2] >= least)], ["doc_id", "content_score", "metadata_score", "quality", "kept"])
-
-    small_batches(spark)
+            p = scores(sent.value, *(batch.column(i) for i in (1, 2, 3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, p), pa.array(p[2] >= least)], ["doc_id", "content_score", "metadata_score", "quality", "kept"])
+
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     return rows.mapInArrow(score, "doc_id long, content_score double, metadata_score double, quality double, kept boolean")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of docs, with all their columns, that `classify` keeps; nothing is shuffled."""
+    sent, places = fit(docs, labels), [docs.columns.index(c) for c in ("text", "lang", "source")]
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(scores(sent.value, *(batch.column(i) for i in places))[2] >= least))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(keep, docs.schema)

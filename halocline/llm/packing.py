@@ -4,10 +4,10 @@ Documents are cut into pieces of at most `capacity` tokens: whole sequences and
 length classes (a bounded table, however many documents there are) is a cutting-stock instance. Its linear program is
 solved by the revised simplex method; a knapsack dynamic program over the dual prices makes the columns. The solution
 is rounded down, what remains of each class (fewer pieces than there are patterns and slots) is filled first fit
-decreasing, and the documents of a class, ranked by id, take the slots of their class in pattern order.
+decreasing, and the documents of a class, ranked, take the slots of their class in pattern order.
 
 Cases: null and empty texts have the end id alone; equal documents are packed one by one; ties in length are ranked by
-doc_id and start; an empty table gives no rows; extra columns of the input are ignored.
+doc_id, start and the piece's number; an empty table gives no rows; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -148,7 +148,7 @@ def cutting_plan(demand: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
-    """pieces (doc_id, start, length, ...) with sequence_id and offset; at most two rows a key leave a task before the ranking."""
+    """pieces (piece, doc_id, start, length, ...) with sequence_id and offset; at most two rows a key leave a task before the ranking."""
     spark = pieces.sparkSession
     units = capacity // grain
     rows = pieces.withColumn("class", F.ceil(F.col("length") / F.lit(grain)).cast("int"))
@@ -165,9 +165,9 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Da
     table = spark.createDataFrame(slots, "class int, first long, times long, base long, pattern int, nth int")  # at most (units + rest) patterns of units slots
     # Ranks within a class, with no task for a whole class: ids are dealt to buckets, whose sizes are summed up first.
     n_buckets = max(1, int(sum(counts.values()) // 50_000))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n_buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(n_buckets)).cast("int"))
     before = rows.groupBy("class", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = rows.withColumn("nr", F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "start")) - 1).join(before.select("class", "bucket", "before"), ["class", "bucket"])
+    ranked = rows.withColumn("nr", F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "piece")) - 1).join(before.select("class", "bucket", "before"), ["class", "bucket"])
     ranked = ranked.withColumn("rank", F.col("nr") + F.coalesce("before", F.lit(0)))
     # The slot lines of a class in order of rank: the one that holds a rank is found in an array, without a range join.
     lines = table.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("first", "times", "base", "pattern", "nth"))).alias("lines"))
@@ -178,13 +178,13 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Da
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
-    """(pieces with their ids, pieces with sequence_id and offset), both keyed by doc_id and start. Texts are encoded once, into a table in the shared folder."""
-    pieces = staged(token_pieces(docs, vocabulary, capacity), "pieces")
+    """(pieces with their ids, pieces with sequence_id and offset), both keyed by `piece`. Texts are encoded once, into a table in the shared folder."""
+    pieces = staged(token_pieces(docs, vocabulary, capacity).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     return pieces, place(pieces.drop("ids"), capacity)
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
     """(sequence_id, n_tokens, ids): the packed sequences, without their padding; at most `capacity` pieces each."""
-    joined = pieces.select("doc_id", "start", "ids").join(placed.select("doc_id", "start", "length", "sequence_id", "offset"), ["doc_id", "start"])
+    joined = pieces.select("piece", "ids").join(placed.select("piece", "length", "sequence_id", "offset"), "piece")
     parts = joined.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return parts.select("sequence_id", "n_tokens", F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"])).alias("ids"))

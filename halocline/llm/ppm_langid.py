@@ -19,6 +19,7 @@ doc_id are no inputs of a prediction, and other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -180,38 +181,64 @@ def has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.nd
 _BUILT: dict[str, Model] = {}
 
 
+class Predictor:
+    """The frozen model's counts, sent to the workers; each builds the tables once."""
+
+    def __init__(self, docs: DataFrame, per_language: int = PER_LANGUAGE, max_contexts: int = MAX_CONTEXTS):
+        found = gram_counts(training_rows(docs, per_language)).toPandas().sort_values(["lang", "gram"])  # bounded by the training sample
+        languages = sorted(set(found["lang"]))
+        number = {x: k for k, x in enumerate(languages)}
+        counts = (languages, found["lang"].map(number).to_numpy(np.int16), found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+        self.key, self.max_contexts = uuid.uuid4().hex, max_contexts
+        self.sent = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, bits) of every text."""
+        n = len(texts)
+        data, offsets = text_bytes(texts)
+        answer, score, bits = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
+        if not self.sent.value[0]:
+            return answer, score, bits
+        if self.key not in _BUILT:
+            _BUILT.clear()
+            names, lang, gram, count = self.sent.value
+            _BUILT[self.key] = build(names, lang.astype(np.int64), gram, count, self.max_contexts)
+        model = _BUILT[self.key]
+        known = has_letter(texts, data, offsets)
+        for a, b in chunks(offsets, 1 << 19):
+            lengths = code_lengths(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            best = lengths.argmin(1)
+            least = lengths[np.arange(b - a), best]
+            score[a:b] = 1 / np.exp2(-np.minimum(lengths - least[:, None], 1000.0)).sum(1)
+            bits[a:b] = least
+            for k in np.flatnonzero(known[a:b]):
+                answer[a + k] = model.languages[best[k]]
+        score[~known] = 0
+        return answer, score, bits
+
+
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits) for every row of docs (doc_id, text, lang)."""
-    spark = docs.sparkSession
-    found = gram_counts(training_rows(docs, per_language)).toPandas().sort_values(["lang", "gram"])  # bounded by the training sample
-    languages = sorted(set(found["lang"]))
-    number = {x: k for k, x in enumerate(languages)}
-    sent = spark.sparkContext.broadcast((languages, found["lang"].map(number).to_numpy(np.int16), found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
+    predictor = Predictor(docs, per_language, max_contexts)
 
     def predict(batches):
-        key = f"{sent._path if hasattr(sent, '_path') else id(sent)}:{max_contexts}"
         for batch in batches:
-            n = batch.num_rows
-            data, offsets = text_bytes(batch.column(1))
-            answer, score, bits = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
-            if sent.value[0]:
-                if key not in _BUILT:  # once a worker
-                    _BUILT.clear()
-                    names, lang, gram, count = sent.value
-                    _BUILT[key] = build(names, lang.astype(np.int64), gram, count, max_contexts)
-                model = _BUILT[key]
-                known = has_letter(batch.column(1), data, offsets)
-                for a, b in chunks(offsets, 1 << 19):
-                    lengths = code_lengths(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    best = lengths.argmin(1)
-                    least = lengths[np.arange(b - a), best]
-                    score[a:b] = 1 / np.exp2(-np.minimum(lengths - least[:, None], 1000.0)).sum(1)
-                    bits[a:b] = least
-                    for k in np.flatnonzero(known[a:b]):
-                        answer[a + k] = model.languages[best[k]]
-                score[~known] = 0
+            answer, score, bits = predictor(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(answer), pa.array(score), pa.array(bits)], ["doc_id", "held_out", "lang_pred", "score", "bits"])
 
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, bits double")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known with at least this score; nothing is shuffled."""
+    predictor, at = Predictor(docs), docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            answer, score, _ = predictor(batch.column(at))
+            yield batch.filter(pa.array((score >= least) & (np.array(answer, dtype=object) != UNKNOWN)))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(keep, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, html_main_text, jpeg_media, orc_tokens, packing, ppm_langid, source_schedule, warc, weak_supervision
+from . import cotraining, html_main_text, jpeg_media, ngram_join, orc_tokens, packing, ppm_langid, source_schedule, warc, weak_supervision
 from .common import scratch_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.digests(jpeg_media.store_media(table(spark, sf_dir, "documents")))
 
@@ -65,7 +69,7 @@ def op10_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_jpeg_media, op4_html_main_text, op5_cotraining, op6_orc_tokens, op7_warc, op8_weak_supervision, op9_source_schedule, op10_ppm_langid)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_jaccard, op3_jpeg_media, op4_html_main_text, op5_cotraining, op6_orc_tokens, op7_warc, op8_weak_supervision, op9_source_schedule, op10_ppm_langid)}
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),

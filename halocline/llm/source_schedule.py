@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import source_key, staged
+from .common import bounded_broadcast, source_key, staged
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -108,3 +108,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     part = F.least(F.col("a.at") + F.col("a.size"), (F.col("a.rank") + 1) * block) - F.greatest(F.col("a.at"), F.col("a.rank") * block)
     took = met.groupBy("a.row").agg(F.sum(part).alias("taken"))
     return rows.join(took, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def repeat_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes its words, to the nearest number of copies."""
+    taken = staged(mix(docs).where("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies__")).where("copies__ > 0").groupBy("doc_id").agg(F.max("copies__").alias("copies__")), "taken")
+    joined = docs.join(bounded_broadcast(taken, taken.count()), "doc_id")
+    return joined.withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__")))).select(*docs.columns)

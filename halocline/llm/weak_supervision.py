@@ -33,7 +33,7 @@ RULES = {
     "few_words": ("n_words", "x < 5", "x >= 40"),
     "symbols": ("n_symbols / greatest(n_words, 1)", "x > 0.2", "FALSE"),
     "shouting": ("n_marks / greatest(n_words, 1)", "x > 0.5", "FALSE"),
-    "repeated_lines": ("n_dup_lines / greatest(n_lines, 1)", "x > 0.3", "FALSE"),
+    "repeated_lines": ("n_dup_lines / greatest(n_lines, 1)", "x > 0.5", "FALSE"),
     "repeated_words": ("n_repeat_words / greatest(n_words, 1)", "x > 0.3", "FALSE"),
     "word_length": ("word_chars / greatest(n_words, 1)", "x NOT BETWEEN 2 AND 20", "x BETWEEN 3 AND 14"),
     "punctuated": ("if(n_stops = 0 AND n_words < 40, 0.01, n_stops / greatest(n_words, 1))", "x = 0 OR x > 1.2", "x BETWEEN 0.02 AND 0.5"),
