@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches
+from .common import scratch_path, small_batches, staged
 
 VERSION = b"WARC/1.0\r\n"
 #: Payloads of fewer bytes are always responses.
@@ -66,8 +66,12 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
     files = max(1, -(-int(size) // FILE_BYTES), -(-rows // FILE_ROWS))
     bodies = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     bodies = bodies.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).repartition(files, "page_id", "digest")  # texts are shuffled once, into the files
-    later = decide(pages, least).where("first < page_id").groupBy("page_id", "digest").agg(F.min("first").alias("refers_to"))
-    dealt = bodies.join(later.hint("shuffle_hash"), ["page_id", "digest"], "left").select("page_id", "url", "digest", "html", "refers_to")
+    later = staged(decide(pages, least).where("first < page_id").groupBy("page_id", "digest").agg(F.min("first").alias("refers_to")), "revisits")
+    if later.isEmpty():  # a join that the planner drops halfway would shuffle the texts again
+        dealt = bodies.withColumn("refers_to", F.lit(None).cast("long"))
+    else:
+        dealt = bodies.join(later.hint("shuffle_hash"), ["page_id", "digest"], "left")
+    dealt = dealt.select("page_id", "url", "digest", "html", "refers_to")
 
     def records(batches):
         for batch in batches:
