@@ -7,6 +7,7 @@ prefix tokens under every order that is used:
 - order A: by document frequency, rarest first. Frequencies are counted for a fixed region of the hash space, which holds
   more tokens of a document than its prefix needs; the rest of the space follows by hash. A token that one document has
   alone takes its place in the prefix but needs no index entry, so a document whose prefix has only such tokens is done.
+  Among the documents that are left, the order is taken again with the frequencies of all tokens.
 - order B: by descending hash, over whole sets.
 
 Pairs that pass A's index (with its position and length bounds) are joined with B's prefixes, and what passes both is
@@ -200,11 +201,19 @@ def join_documents(docs: DataFrame) -> DataFrame:
     index = staged(placed.select("tok", "rep", "n", F.col("pos").cast("int").alias("pos")), "index")
 
     # Whole sets of the documents that are in the index.
-    alive = index.select("rep").distinct()
+    busy = index.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    alive = staged(index.join(busy, "tok", "left_semi").select("rep").distinct(), "alive")
     n_alive = alive.count()
     wanted = texts.join(bounded_broadcast(alive.withColumnRenamed("rep", "doc_id"), n_alive), "doc_id", "left_semi")
     sets = staged(of_representatives(_map_sets(wanted, _whole, "doc_id long, sig binary, n int, toks array<long>, late array<long>")).drop("sig").withColumnRenamed("doc_id", "rep"), "sets")
 
+    # Order A again, exactly: among the documents left, the frequencies of all their tokens are few enough to count.
+    entries = sets.select("rep", "n", F.explode("toks").alias("tok"))
+    shared = staged(entries.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    placed = entries.join(bounded_broadcast(shared, shared.count()), "tok").withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("df", "tok"))).withColumn("both", F.count("*").over(Window.partitionBy("rep")))
+    placed = placed.withColumn("pos", F.col("n") - F.col("both") + F.col("nth")).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+    index = staged(placed.select("tok", "rep", "n", F.col("pos").cast("int").alias("pos")), "index")
+
     def linked(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b): those that share prefix tokens under order B too, and then reach the similarity."""
         late = sets.select("rep", "late")
