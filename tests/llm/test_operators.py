@@ -1,0 +1,170 @@
+"""Training-data operators against plain versions, on small and odd inputs."""
+
+import gzip
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from halocline.llm import html_main_text, jpeg_media, ngram_join, orc_tokens, packing, ppm_langid, source_schedule, warc, weak_supervision
+from halocline.llm.queries import BYTE_BPE, WORD_BPE, vocabulary
+from halocline.llm.tokens import Encoder
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BASE = " ".join(f"word{i}" for i in range(60))
+TEXTS = [None, "", " \n\t", "one two", "One  TWO", BASE, BASE.upper(), BASE.replace("word30", "other"), BASE + " tail", "Ünï ß2³ don't we'll 's x\ty", "a  b \n c", "x " * 200, "Eins zwei drei. " * 30, "日本 語 <|endoftext|>", "é" * 700, BASE]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, ["en", "de", None][i % 3], [None, "s1", "s2", "s3"][i % 4], 0, "clash") for i, t in enumerate(TEXTS)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_cached_ids_equal_the_librarys(name):
+    coder = Encoder(vocabulary(name))
+    for text in [t for t in TEXTS if t] + [" a", "a ", "a\n b", "a \nb", "a\r\n\r\n b\x1cc", "İx ΑΣ.　q", " \n"]:
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_is_whole_and_gapless(docs, empty):
+    coder = Encoder(vocabulary(BYTE_BPE))
+    pieces, placed = packing.pack_documents(docs, vocabulary(BYTE_BPE), 128)
+    rows = placed.collect()
+    ids = {i: np.append(np.frombuffer(coder.encode(t), "<u4"), np.uint32(1)).astype("<u4") for i, t in enumerate(TEXTS)}
+    for r in rows:
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    assert sum(r.length for r in rows) == sum(map(len, ids.values()))
+    for sequence in {r.sequence_id for r in rows}:
+        at = 0
+        for r in sorted((r for r in rows if r.sequence_id == sequence), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 128
+    assert packing.sequences(pieces, placed).selectExpr("sum(n_tokens)").first()[0] == sum(map(len, ids.values()))
+    assert packing.pack_documents(empty, vocabulary(BYTE_BPE))[1].count() == 0
+
+
+def test_cutting_plan_covers_the_demand_near_its_bound():
+    demand = np.bincount(np.random.default_rng(1).integers(1, 64, 5000), minlength=65)[1:]
+    plan = packing.cutting_plan(demand)
+    made = np.zeros(64, int)
+    for lengths, times in plan:
+        assert sum(lengths) <= 64
+        for k in lengths:
+            made[k - 1] += times
+    assert (made == demand).all()
+    assert sum(t for _, t in plan) <= 1.02 * (demand * np.arange(1, 65)).sum() / 64 + 2
+
+
+def test_jaccard_components_equal_brute_force(docs, empty):
+    sets = {}
+    for i, text in enumerate(TEXTS):
+        words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(words)} if 0 < len(words) < 5 else {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    name = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    name[a] = name[b] = min(name[a], name[b])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_documents(docs).collect()}
+    assert got == {i: (len(sets[i]), name[i]) for i in sets}
+    assert ngram_join.join_documents(empty).count() == 0
+
+
+def test_media_round_trip(docs, empty):
+    rows = {r.doc_id: r for r in jpeg_media.digests(jpeg_media.store_media(docs)).collect()}
+    for i, text in enumerate(TEXTS):
+        body = (text or "").encode()
+        payload = body + b"\xff" * (max(1, -(-len(body) // 576)) * 576 - len(body))
+        assert (rows[i].n_bytes, rows[i].payload_bytes, rows[i].payload_sha256, rows[i].tail_crc32) == (len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    assert rows[5].media_sha256 == rows[15].media_sha256 and rows[5].feature == rows[15].feature
+    assert jpeg_media.store_media(empty).count() == 0
+
+
+def test_media_of_several_shapes():
+    rng = np.random.default_rng(0)
+    payloads = [rng.integers(0, 256, 576 * k).astype(np.uint8) for k in (1, 7, 700)]
+    images = jpeg_media.decode_thumbnails(jpeg_media.encode_payloads(payloads))
+    assert all((np.concatenate([x.ravel() for x in image]) == p).all() for image, p in zip(images, payloads, strict=True))
+
+
+PAGE = """<html><head><title>T</title></head><body><header class="site"><h1>Site</h1></header><div id="menu"><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></div><div class="cookie-notice">We use cookies.</div>
+<div class="content"><h2>Title</h2><p>Hello &lt;b&gt; w&ouml;rld &#39;x&#39;<br>next   line<p>Second <a href=z>link</a> paragraph, rather long.</p><div class=ad>Buy now</div><form><input><p>search</p></form><p>Third.</p></div>
+<div id="comments"><article class="comment"><p>Nice post and a long comment by a reader.</p></article></div><footer>(c) me</footer></body></html>"""
+
+
+def test_main_text():
+    assert html_main_text.main_blocks(PAGE) == ["Title", "Hello <b> wörld 'x' next line", "Second link paragraph, rather long.", "Third."]
+    assert html_main_text.main_text(None) == html_main_text.main_text("") == html_main_text.main_text("<script>x</script>") == ""
+    assert html_main_text.main_blocks("<div class='ad'>x<article>y</article>") == ["y"]
+
+
+def test_orc_digests(spark, docs, empty, tmp_path):
+    coder, start = Encoder(vocabulary(WORD_BPE)), 0
+    orc_tokens.write_orc(docs, f"file://{tmp_path}/a", vocabulary(WORD_BPE))
+    stored = orc_tokens.read_orc(spark, f"file://{tmp_path}/a")
+    rows = {r.doc_id: r for r in orc_tokens.digests(stored).collect()}
+    for i, text in enumerate(TEXTS):
+        ids = coder.encode(text) + b"\1\0\0\0"
+        assert (rows[i].start, rows[i].n_tokens, rows[i].ids_crc32) == (start, len(ids) // 4, zlib.crc32(ids))
+        start += len(ids) // 4
+    assert "EqualTo(doc_id,3)" in stored.where("doc_id = 3")._jdf.queryExecution().toString()
+
+
+def test_warc_revisits_and_salvage(spark):
+    body = "<p>" + "x" * 200
+    pages = spark.createDataFrame([(3, "u", body), (1, None, body), (2, "u", "short"), (4, "u", "short"), (5, "u", None)], "page_id long, url string, html string")
+    rows = {r.headers["WARC-Record-ID"]: r for r in warc.archive(pages).collect()}
+    assert not any(r.is_gap for r in rows.values()) and len(rows) == 5
+    assert rows["<urn:page:3>"].headers["WARC-Refers-To"] == "<urn:page:1>" and rows["<urn:page:4>"].headers["WARC-Type"] == "response"
+    members = [warc.gzip_member(warc.encode_record([("WARC-Type", "response"), ("n", str(k))], b"body %d" % k)) for k in range(4)]
+    assert gzip.decompress(members[0]).startswith(b"WARC/1.0")
+    damaged = members[0] + members[1][:20] + b"\0\0" + members[1][22:] + members[2] + warc.encode_record([("WARC-Type", "response"), ("n", "9")], b"plain") + b"junk" + members[3][:-9]
+    found = list(warc.salvage(damaged))
+    assert [h["n"] for _, _, h, _ in found if h] == ["0", "2", "9"]
+    assert sum(end - start for start, end, _, _ in found) == len(damaged) and sum(h is None for _, _, h, _ in found) == 2
+
+
+def test_quality_measures(docs, empty):
+    rows = {r.doc_id: r for r in weak_supervision.judge(docs).collect()}
+    for i, text in enumerate(TEXTS):
+        words = WORD.findall(text or "")
+        seen, covered = {}, set()
+        for k in range(len(words) - 7):
+            seen.setdefault(tuple(words[k : k + 8]), []).append(k)
+        for places in seen.values():
+            if len(places) > 1:
+                covered.update(j for k in places for j in range(k, k + 8))
+        assert (rows[i].n_words, rows[i].word_chars, rows[i].n_repeat_words) == (len(words), sum(map(len, words)), len(covered))
+        assert rows[i].base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words))
+    assert weak_supervision.judge(empty).count() == 0
+
+
+def test_mix_is_near_its_targets(spark, empty):
+    docs = spark.createDataFrame([(i, "w " * (i % 50 + 1), [None, "a", "b", "c"][min(3, i % 7)]) for i in range(700)] + [(700, None, "a")], "doc_id long, text string, source string")
+    rows = source_schedule.mix(docs).collect()
+    assert len(rows) == 701 and all(r.taken <= 2 * r["size"] for r in rows)
+    for source in (None, "a", "b", "c"):
+        own = [r for r in rows if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.02 * own[0].target
+        assert sum(r["size"] for r in own) == own[0].source_size
+    assert source_schedule.mix(empty).count() == 0
+
+
+def test_language_held_out(spark, docs, empty):
+    data = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = ppm_langid.identify(data).where("held_out").join(data.select("doc_id", "lang"), "doc_id")
+    assert found.selectExpr("avg(cast(lang = lang_pred as double))").first()[0] > 0.95
+    rows = {r.doc_id: r for r in ppm_langid.identify(docs).collect()}
+    assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (0, 1, 2))
+    assert ppm_langid.identify(empty).count() == 0
