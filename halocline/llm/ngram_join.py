@@ -214,12 +214,17 @@ def join_documents(docs: DataFrame) -> DataFrame:
     placed = placed.withColumn("pos", F.col("n") - F.col("both") + F.col("nth")).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
     index = staged(placed.select("tok", "rep", "n", F.col("pos").cast("int").alias("pos")), "index")
 
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets that the pairs name; the others need not be shuffled."""
+        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+        return sets.join(bounded_broadcast(ends, 2 * pairs.count()), "rep", "left_semi")
+
     def linked(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b): those that share prefix tokens under order B too, and then reach the similarity."""
-        late = sets.select("rep", "late")
+        late = sets_of(pairs).select("rep", "late")
         met = pairs.join(late.select(F.col("rep").alias("a"), F.col("late").alias("late_a")), "a").join(late.select(F.col("rep").alias("b"), F.col("late").alias("late_b")), "b")
-        met = met.where(F.arrays_overlap("late_a", "late_b")).select("a", "b")
-        whole = sets.select("rep", "n", "toks")
+        met = staged(met.where(F.arrays_overlap("late_a", "late_b")).select("a", "b"), "met")
+        whole = sets_of(met).select("rep", "n", "toks")
         met = met.join(whole.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("toks").alias("toks_a")), "a").join(whole.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("toks").alias("toks_b")), "b")
         common = F.size(F.array_intersect("toks_a", "toks_b")).cast("long")
         return met.withColumn("common", common).where(100 * F.col("common") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
@@ -240,13 +245,15 @@ def join_documents(docs: DataFrame) -> DataFrame:
     while True:
         members = live.select("tok", "rep", "n", "pos").join(labels, "rep")
         open_tokens = members.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "pos", "comp")).alias("hub")).where("lo <> hi")
+        open_tokens = staged(open_tokens, "open")
+        # A token whose documents share a component has nothing left to try, now or later: components only grow.
+        live = staged(members.join(bounded_broadcast(open_tokens.select("tok"), open_tokens.count()), "tok", "left_semi"), "live")
         last = done or turn >= HUB_ROUNDS
         if not last:
             hubs = open_tokens.select("tok", F.col("hub.rep").alias("rep"), F.col("hub.n").alias("n"), F.col("hub.pos").alias("pos"), F.col("hub.comp").alias("comp"))
-            x, y = hubs.alias("x"), members.alias("y")
+            x, y = hubs.alias("x"), live.alias("y")
             pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y"))
         else:
-            live = staged(members.join(open_tokens.select("tok"), "tok", "left_semi"), "open")
             x, y = live.alias("x"), live.alias("y")
             pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y"))
         pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
