@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, chunks, small_batches, staged, text_bytes
+from .common import bounded_broadcast, chunks, discard, small_batches, staged, text_bytes
 
 WORDS = 5
 PERCENT = 75
@@ -135,7 +135,12 @@ def _map_sets(docs: DataFrame, make, schema: str) -> DataFrame:
 def _frequent_region(sets: list[np.ndarray]) -> list:
     """What is indexed of each set: its tokens in the region, or its prefix by hash where that is longer."""
     kept = [s[: max(int(np.searchsorted(s, REGION_END)), int(prefix_length(np.array(len(s)))))] for s in sets]
-    return [pa.array([len(k) for k in kept], pa.int32()), _listed(kept)]
+    return [_listed(kept)]
+
+
+def _sizes(sets: list[np.ndarray]) -> list:
+    """How many tokens of each set are indexed."""
+    return [pa.array([max(int(np.searchsorted(s, REGION_END)), int(prefix_length(np.array(len(s))))) for s in sets], pa.int32())]
 
 
 def _whole(sets: list[np.ndarray]) -> list:
@@ -177,12 +182,12 @@ def join_documents(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
 
     # Classes of equal texts. Only groups of several are joined back, salted: a group may hold a third of all rows.
-    keyed = staged(_signatures(texts), "keys")
+    keyed = staged(_map_sets(texts, _sizes, "doc_id long, sig binary, n int, m int"), "keys")
     rows, ids = keyed.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    one = keyed if rows == ids else staged(keyed.groupBy("doc_id").agg(F.min(F.struct("sig", "n_words")).alias("x")).select("doc_id", "x.sig", "x.n_words"), "keys")
-    groups = one.where("n_words > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1")
+    one = keyed if rows == ids else staged(keyed.groupBy("doc_id").agg(F.min(F.struct("sig", "n", "m")).alias("x")).select("doc_id", "x.*"), "keys")
+    groups = one.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1")
     groups = groups.select("sig", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    copies = staged(one.where("n_words > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(groups, ["sig", "salt"]).where("first < doc_id").select("doc_id", "sig", F.col("first").alias("rep")), "copies")
+    copies = staged(one.where("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(groups, ["sig", "salt"]).where("first < doc_id").select("doc_id", "sig", F.col("first").alias("rep")), "copies")
     n_copies = copies.count()
 
     def of_representatives(made: DataFrame) -> DataFrame:
@@ -191,29 +196,35 @@ def join_documents(docs: DataFrame) -> DataFrame:
         return made.join(bounded_broadcast(copies.select("doc_id"), n_copies), "doc_id", "left_anti")
 
     # Order A: frequencies of the region's tokens; only tokens of two documents or more get into the index.
-    indexed = of_representatives(_map_sets(texts, _frequent_region, "doc_id long, sig binary, n int, m int, toks array<long>").where("n > 0"))
-    entries = indexed.select(F.col("doc_id").alias("rep"), "n", "m", F.explode("toks").alias("tok"))
+    # The join by token is left to a shuffle, whose skewed partitions Spark splits: the tokens grow with the documents, and
+    # a broadcast up to some size would only hide that. Rows are narrow; the sizes of the sets are joined by document.
+    indexed = of_representatives(_map_sets(texts, _frequent_region, "doc_id long, sig binary, n int, toks array<long>").where("n > 0"))
+    entries = indexed.select(F.col("doc_id").alias("rep"), F.explode("toks").alias("tok"))
+    sizes = one.select(F.col("doc_id").alias("rep"), "n", "m")
     shared = staged(entries.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-    found = entries.join(bounded_broadcast(shared, shared.count()), "tok")
+    found = entries.join(shared, "tok")
     order = Window.partitionBy("rep").orderBy("outside", F.when(F.col("outside"), 0).otherwise(F.col("df")), "tok")
     placed = found.withColumn("outside", F.col("tok") >= F.lit(REGION_END)).withColumn("nth", F.row_number().over(order)).withColumn("both", F.count("*").over(Window.partitionBy("rep")))
-    placed = placed.withColumn("pos", F.col("m") - F.col("both") + F.col("nth")).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+    placed = placed.join(sizes, "rep").withColumn("pos", F.col("m") - F.col("both") + F.col("nth")).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
     index = staged(placed.select("tok", "rep", "n", F.col("pos").cast("int").alias("pos")), "index")
 
     # Whole sets of the documents that are in the index.
     busy = index.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     alive = staged(index.join(busy, "tok", "left_semi").select("rep").distinct(), "alive")
+    discard(shared, index)
     n_alive = alive.count()
     wanted = texts.join(bounded_broadcast(alive.withColumnRenamed("rep", "doc_id"), n_alive), "doc_id", "left_semi")
     sets = staged(of_representatives(_map_sets(wanted, _whole, "doc_id long, sig binary, n int, toks array<long>, late array<long>")).drop("sig").withColumnRenamed("doc_id", "rep"), "sets")
 
     # Order A again, exactly: among the documents left, the frequencies of all their tokens are few enough to count.
-    entries = sets.select("rep", "n", F.explode("toks").alias("tok"))
+    entries = sets.select("rep", F.explode("toks").alias("tok"))
     shared = staged(entries.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-    placed = entries.join(bounded_broadcast(shared, shared.count()), "tok").withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("df", "tok"))).withColumn("both", F.count("*").over(Window.partitionBy("rep")))
-    placed = placed.withColumn("pos", F.col("n") - F.col("both") + F.col("nth")).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+    placed = entries.join(shared, "tok").withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("df", "tok"))).withColumn("both", F.count("*").over(Window.partitionBy("rep")))
+    placed = placed.join(sizes, "rep").withColumn("pos", F.col("n") - F.col("both") + F.col("nth")).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
     index = staged(placed.select("tok", "rep", "n", F.col("pos").cast("int").alias("pos")), "index")
 
+    discard(shared)
+
     def sets_of(pairs: DataFrame) -> DataFrame:
         """The sets that the pairs name; the others need not be shuffled."""
         ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
@@ -247,7 +258,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
         open_tokens = members.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "pos", "comp")).alias("hub")).where("lo <> hi")
         open_tokens = staged(open_tokens, "open")
         # A token whose documents share a component has nothing left to try, now or later: components only grow.
-        live = staged(members.join(bounded_broadcast(open_tokens.select("tok"), open_tokens.count()), "tok", "left_semi"), "live")
+        before, live = live, staged(members.join(open_tokens.select("tok"), "tok", "left_semi"), "live")
+        discard(before)
         last = done or turn >= HUB_ROUNDS
         if not last:
             hubs = open_tokens.select("tok", F.col("hub.rep").alias("rep"), F.col("hub.n").alias("n"), F.col("hub.pos").alias("pos"), F.col("hub.comp").alias("comp"))
@@ -260,6 +272,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
+        discard(open_tokens)
         tried = pairs if tried is None else tried.union(pairs)
         links = staged(linked(pairs), "links")
         if not links.isEmpty():
@@ -270,24 +283,10 @@ def join_documents(docs: DataFrame) -> DataFrame:
             break
         turn += 1
 
-    found = one.select("doc_id").join(copies.select("doc_id", "rep"), "doc_id", "left").withColumn("class_id", F.coalesce("rep", "doc_id")).select("doc_id", "class_id")
-    sizes = indexed.select(F.col("doc_id").alias("class_id"), F.col("n").cast("long").alias("n_shingles"))
-    found = found.join(labels.select(F.col("rep").alias("class_id"), "comp"), "class_id", "left").join(sizes, "class_id", "left")
+    found = one.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(copies.select("doc_id", "rep"), "doc_id", "left").withColumn("class_id", F.coalesce("rep", "doc_id")).drop("rep")
+    found = found.join(labels.select(F.col("rep").alias("class_id"), "comp"), "class_id", "left")
     # A component's name is its least doc_id, which is that of a class, as a class is named by its least.
-    return found.select("doc_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), "class_id", F.coalesce("comp", "class_id").alias("component_id"))
-
-
-def _signatures(texts: DataFrame) -> DataFrame:
-    """(doc_id, sig, n_words): a 128-bit hash of the word sequence, and the number of words."""
-
-    def run(batches):
-        for batch in batches:
-            words = [x.as_py().encode("utf-8", "surrogatepass").translate(_LOWER).split() for x in batch.column(1)]
-            sigs = [hashlib.md5(b" ".join(w), usedforsecurity=False).digest() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array([len(w) for w in words], pa.int64())], ["doc_id", "sig", "n_words"])
-
-    small_batches(texts.sparkSession)
-    return texts.mapInArrow(run, "doc_id long, sig binary, n_words long")
+    return found.select("doc_id", "n_shingles", "class_id", F.coalesce("comp", "class_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
