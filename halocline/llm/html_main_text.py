@@ -1,10 +1,16 @@
 """Main text of web pages by their line-block distribution.
 
-Markup is stripped into lines, one for each block element. A line weighs its text without the text of links, and nothing
-where it stands in a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment, or, on pages
-that mark their article, outside it. Weights are summed over sliding windows of `WINDOW` lines: the sum surges where a
-run of text begins and dives to 0 where it ends. The lines between the points of the heaviest run are kept, and those of
-every run of at least `SHARE` of its weight; in a marked article all runs are kept.
+Markup is stripped into lines, one for each block element. Lines in a menu, header, footer, sidebar, notice, advert,
+form, script, style or reader comment are dropped and take no place. A line weighs its text without the text of links,
+and with it in a marked article. Weights are summed over sliding windows of `WINDOW` lines: the sum surges where a run of
+text begins and dives to 0 where it ends; the edges of a marked article are surge and dive points too.
+
+A run in a marked article counts `PRIOR` times. Where the heaviest run is in one, the text is the lines of all marked
+articles. Else the marks are on something smaller than the main text (teasers, cards), or there are none: the text is all
+lines from the first surge to the last dive, lines of links included, of the runs that are in an article, hold `SHARE` of
+the heaviest run's weight, or are mostly unlinked and either stand in the element around the heaviest run or have lines
+of `LONG` characters on average. Lines of links beside the first surge and the last dive are kept if they are headings,
+or fewer than `WINDOW` and in that element.
 
 Cases: null and empty html give an empty text, as do pages without text; equal pages get equal texts; unclosed elements
 end with their parent, an unclosed tag or comment is text or ends with the page; an empty table gives no rows; extra
@@ -23,6 +29,8 @@ from .common import small_batches
 
 WINDOW = 3
 SHARE = 0.2
+PRIOR = 4
+LONG = 40
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -34,6 +42,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br button input".split())
 DROPPED = frozenset("nav footer aside form button dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar menu menus nav navbar navigation navi breadcrumb breadcrumbs footer comments comment respond replies discussion disqus related share sharing social subscribe subscription newsletter popup modal overlay widget widgets pagination pager login signup register toolbar masthead topbar recommended".split()
 )
@@ -63,25 +72,28 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> str:
     return ""
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, whether in a marked article) of every block of the page, in order; weight -1: boilerplate."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, tuple[int, ...], bool]]:
+    """(text, weight, whether in a marked article, the elements around its own, whether a heading) of every block of the page, in order; weight -1: boilerplate."""
+    out: list[tuple[str, int, bool, tuple[int, ...], bool]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, str]] = []  # open elements and why they are dropped
-    drops = links = articles = 0
+    ids: list[int] = []  # the open elements' numbers
+    drops = links = articles = opened = 0
 
     def flush():
         nonlocal parts, linked
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, -1 if drops else max(0, len(text) - linked), articles > 0))
+                blocks = [(i, tag) for i, (tag, _) in zip(ids, stack, strict=True) if tag not in INLINE and tag not in ("html", "body")]
+                out.append((text, -1 if drops else max(0, len(text) - linked), articles > 0, tuple(i for i, _ in blocks[:-1]), bool(blocks) and blocks[-1][1] in HEADINGS))
         parts, linked = [], 0
 
     def pop():
         nonlocal drops, links, articles
         tag, why = stack.pop()
+        ids.pop()
         drops -= bool(why)
         links -= tag == "a"
         articles -= tag in ("article", "main") and not why
@@ -133,6 +145,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 pop()
         why = _dropped(tag, attributes, articles > 0)
         stack.append((tag, why))
+        opened += 1
+        ids.append(opened)
         drops += bool(why)
         links += tag == "a"
         articles += tag in ("article", "main") and not why
@@ -150,27 +164,58 @@ def _fenced(stack: list[tuple[str, str]], closes: frozenset) -> bool:
     return True
 
 
+def _runs(weights: list[int], inside: list[bool]) -> list[tuple[int, int]]:
+    """(surge, dive) of every run: from the first line that weighs to behind the last, the windows between being above 0."""
+    runs: list[tuple[int, int]] = []
+    for i, weight in enumerate(weights):
+        if weight and runs and i - runs[-1][1] < WINDOW and inside[i] == inside[i - 1] == inside[runs[-1][0]]:
+            runs[-1] = (runs[-1][0], i + 1)
+        elif weight:
+            runs.append((i, i + 1))
+    return runs
+
+
 def main_blocks(page: str | None) -> list[str]:
-    lines = lines_of(page or "")
-    marked = any(inside and weight >= 0 for _, weight, inside in lines)
-    weights = [max(0, w) if inside or not marked else 0 for _, w, inside in lines]
-    if marked:  # in an article a line of links is text too
-        weights = [len(t) if w >= 0 and inside else 0 for t, w, inside in lines]
-    n, sums = len(lines), []
-    for i in range(n):
-        sums.append(sum(weights[i : i + WINDOW]))
-    runs, surge = [], None
-    for i in range(n + 1):
-        total = sums[i] if i < n else 0
-        if total and surge is None:
-            surge = i
-        elif not total and surge is not None:
-            runs.append((surge, i, sum(weights[surge:i])))
-            surge = None
+    lines = [x for x in lines_of(page or "") if x[1] >= 0]  # what stands on both sides of boilerplate meets
+    texts, inside, around = [x[0] for x in lines], [x[2] for x in lines], [x[3] for x in lines]
+    weights = [len(t) if article else w for t, w, article, *_ in lines]  # in an article a line of links is text too
+    runs = _runs(weights, inside)
     if not runs:
         return []
-    least = 1 if marked else SHARE * max(r[2] for r in runs)
-    return [lines[i][0] for a, b, total in runs if total >= least for i in range(a, b) if weights[i]]
+    total = {r: sum(weights[slice(*r)]) for r in runs}
+    core = max(runs, key=lambda r: total[r] * (PRIOR if inside[r[0]] else 1))
+    if inside[core[0]]:
+        return [t for t, article in zip(texts, inside, strict=True) if article]
+    home = around[core[0]]
+    for path in around[slice(*core)]:
+        while path[: len(home)] != home:
+            home = home[:-1]
+
+    def at_home(i: int) -> bool:
+        return bool(home) and around[i][: len(home)] == home
+
+    def kept(run: tuple[int, int]) -> bool:
+        if inside[run[0]] or total[run] >= SHARE * total[core]:
+            return True
+        unlinked = 2 * total[run] >= sum(map(len, texts[slice(*run)]))
+        return unlinked and (any(map(at_home, range(*run))) or total[run] >= LONG * (run[1] - run[0]))
+
+    first = min(r[0] for r in runs if kept(r))
+    last = max(r[1] for r in runs if kept(r))
+    return [texts[i] for i in range(_beside(first, -1, weights, lines, at_home), _beside(last - 1, 1, weights, lines, at_home) + 1)]
+
+
+def _beside(edge: int, way: int, weights: list[int], lines: list, at_home) -> int:
+    """The outermost line of links to keep beside the line `edge`, in the direction `way`."""
+    found, i, n = edge, edge + way, 0
+    while 0 <= i < len(lines) and not weights[i]:
+        n += 1
+        if n < WINDOW and lines[i][4]:
+            found = i
+        i += way
+    while n < WINDOW and abs(found - edge) < n and at_home(found + way):
+        found += way
+    return found
 
 
 def main_text(page: str | None) -> str:

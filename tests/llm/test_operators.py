@@ -109,6 +109,14 @@ def test_main_text():
     assert html_main_text.main_blocks("<div class='ad'>x<article>y</article>") == ["y"]
 
 
+def test_main_text_on_marked_pages():
+    text = "".join(f"<p>Paragraph {i} of the long text that this page is about.</p>" for i in range(20))
+    found = html_main_text.main_blocks(f"<div class=story>{text}</div><article><p>A teaser.</p></article>")
+    assert found == [f"Paragraph {i} of the long text that this page is about." for i in range(20)] + ["A teaser."]
+    article = "<article><h1><a href=x>Head</a></h1><p>Text of the article.</p><p><a href=y>All link</a></p></article>"
+    assert html_main_text.main_blocks(f"<div>Tagline of the site</div>{article}<div>Imprint</div>") == ["Head", "Text of the article.", "All link"]
+
+
 def test_orc_digests(spark, docs, empty, tmp_path):
     coder, start = Encoder(vocabulary(WORD_BPE)), 0
     orc_tokens.write_orc(docs, f"file://{tmp_path}/a", vocabulary(WORD_BPE))
