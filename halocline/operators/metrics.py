@@ -102,3 +102,33 @@ def density_ratio(df: DataFrame, n_data: int, n_noise: int, bins: int = 100, x_m
     w = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a bin
     out = counts.select("bin", F.sum("nd").over(w).alias("data_above"), F.sum("nn").over(w).alias("noise_above"))
     return out.select("bin", "data_above", "noise_above", F.round(ratio(F.col("noise_above") / n_noise, F.col("data_above") / n_data), 6).alias("rho"))
+
+
+def density_ratio_significance(df: DataFrame, n_data: float, n_noise: float, alpha: float = 4, delta_omega: float = 0.25, n_bands: int = 1000, n_bins: int = 2000, x_max: float = 20.0) -> DataFrame:
+    """The data ridges of df (l, xi_bar, omega_bar, npoints, kind), with rho: the noise's ridge points a sample over the data's.
+
+    Points are counted from the ridge's X = L |xi_bar|^alpha on, in the band nearest to its omega_bar; a ridge is in every
+    band whose centre lies within delta_omega / 2. Infinite where no data is counted, NULL where X or omega_bar is undefined."""
+    from pyspark.sql import Window
+
+    is_data = F.col("kind") == "data"
+    rows = df.withColumn("x", finite(F.col("l")) * F.pow(F.abs(finite(F.col("xi_bar"))), F.lit(float(alpha)))).withColumn("omega", finite(F.col("omega_bar"))).where(F.col("kind").isin("data", "noise"))
+    valid = F.col("x").isNotNull() & F.col("omega").isNotNull()
+    edges = rows.where(valid).agg((F.min("omega") - delta_omega).alias("low"), (F.max("omega") + delta_omega).alias("high"))
+    step = (F.col("high") - F.col("low")) / (n_bands - 1) if n_bands > 1 else F.lit(1.0)
+    rows = rows.crossJoin(F.broadcast(edges)).withColumn("step", step)  # one row
+    at = lambda shift: (F.col("omega") + shift - F.col("low")) / F.col("step")
+    clamped = lambda k, n: F.greatest(F.lit(0), F.least(k, F.lit(n - 1))).cast("int")
+    rows = rows.withColumn("bin", F.when(valid, clamped(F.floor(F.col("x") / x_max * n_bins), n_bins)))
+    rows = rows.withColumn("band", F.when(valid, clamped(F.rint(at(0)), n_bands)))
+    rows = rows.withColumn("first", F.greatest(F.lit(0), F.ceil(at(-delta_omega / 2))).cast("int")).withColumn("last", F.least(F.lit(n_bands - 1), F.floor(at(delta_omega / 2))).cast("int"))
+    # Ridges of the same bands and bin are summed before they are spread over the bands.
+    points = finite(F.col("npoints"))
+    spans = rows.where(valid & (F.col("first") <= F.col("last"))).groupBy("first", "last", "bin").agg(F.sum(F.when(is_data, points).otherwise(0.0)).alias("d"), F.sum(F.when(is_data, 0.0).otherwise(points)).alias("n"))
+    cells = spans.select(F.explode(F.sequence("first", "last")).alias("band"), "bin", "d", "n")
+    wanted = rows.where(is_data & valid).select("band", "bin", F.lit(0.0).alias("d"), F.lit(0.0).alias("n")).distinct()  # a cell for each that is asked for
+    cells = cells.union(wanted).groupBy("band", "bin").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    w = Window.partitionBy("band").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # n_bins rows at most
+    above = cells.select("band", "bin", F.sum("d").over(w).alias("sd"), F.sum("n").over(w).alias("sn"))
+    rho = F.when(F.col("sd") > 0, (F.col("sn") / n_noise) / (F.col("sd") / n_data)).when(F.col("band").isNotNull(), F.lit(float("inf")))
+    return rows.where(is_data).join(above, ["band", "bin"], "left").withColumn("rho", rho).select(*df.columns, "rho")

@@ -105,6 +105,14 @@ def a19_density_ratio(spark, sf_dir):
     return metrics.density_ratio(proxies.ridges(spark, sf_dir).withColumnRenamed("l", "x"), 1, 5)
 
 
+@query("""WITH x AS (SELECT id, kind, npoints, omega_bar AS o, least(CAST(floor(l * abs(xi_bar) ** 4 / 20 * 2000) AS INT), 1999) AS bin FROM v_ridges), e AS (SELECT min(o) - 0.25e0 AS low, (max(o) + 0.25e0 - (min(o) - 0.25e0)) / 999 AS step FROM x),
+    b AS (SELECT k AS band, low + k * step AS centre FROM range(1000) r(k), e), c AS (SELECT band, bin, coalesce(sum(npoints) FILTER (kind = 'data'), 0) / 1.0e0 AS d, coalesce(sum(npoints) FILTER (kind = 'noise'), 0) / 5.0e0 AS n FROM b JOIN x ON centre >= o - 0.125e0 AND centre <= o + 0.125e0 GROUP BY band, bin),
+    s AS (SELECT band, bin, sum(d) OVER w AS sd, sum(n) OVER w AS sn FROM c WINDOW w AS (PARTITION BY band ORDER BY bin DESC))
+    SELECT id, round(CASE WHEN sd > 0 THEN sn / sd ELSE 'inf'::DOUBLE END, 6) AS rho FROM x CROSS JOIN e LEFT JOIN s ON s.bin = x.bin AND s.band = CAST(round_even((o - low) / step, 0) AS INT) WHERE kind = 'data'""")
+def a19_density_ratio_significance(spark, sf_dir):
+    return metrics.density_ratio_significance(proxies.ridges(spark, sf_dir), 1, 5).select("id", F.round("rho", 6).alias("rho"))
+
+
 @query("SELECT kind, count(*) AS events, round(avg(l), 6) AS mean_l, round(median(l), 6) AS median_l, round(avg(CASE WHEN xi_bar > 0 THEN 1.0e0 ELSE 0 END), 6) AS positive_share, round(sum(xi_bar * npoints) / sum(npoints), 6) AS weighted_xi FROM v_ridges GROUP BY kind")
 def a20_event_statistics(spark, sf_dir):
     r = proxies.ridges(spark, sf_dir)

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from halocline import queries
+from halocline.operators import metrics
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -41,3 +42,11 @@ def test_query(spark, duck, name):
     got = Counter(tuple(plain(x) for x in r) for r in found.select(*columns).collect())
     assert sum(got.values()) == sum(expected.values())
     assert got == expected
+
+
+def test_density_ratio_weighs_points_in_bands(spark):
+    rows = [(1, 2.0, 1.0, 0.0, 10, "data"), (2, 4.0, -1.0, 0.1, 30, "data"), (3, 3.0, 1.0, 0.05, 50, "noise"), (4, 9.0, 1.0, 3.0, 70, "noise"), (5, 9.0, 0.1, 0.0, 90, "noise"), (6, 1.0, None, 0.0, 5, "data")]
+    ridges = spark.createDataFrame(rows, "id int, l double, xi_bar double, omega_bar double, npoints int, kind string")
+    found = {r.id: r.rho for r in metrics.density_ratio_significance(ridges, 2, 4).collect()}
+    assert found == {1: pytest.approx((50 / 4) / (40 / 2)), 2: 0.0, 6: None}
+    assert metrics.density_ratio_significance(ridges.where("kind = 'noise'"), 2, 4).count() == 0
