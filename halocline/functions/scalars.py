@@ -32,7 +32,9 @@ def speed(u: Column, v: Column) -> Column:
 
 
 def _turn(degrees: Column) -> Column:
-    return degrees - 360 * F.floor(degrees / 360)
+    """Into [0, 360); an angle too little below 0 to be told from 360 is 0."""
+    turned = degrees - 360 * F.floor(degrees / 360)
+    return F.when(turned >= 360, 0.0).otherwise(turned)
 
 
 def direction_towards(u: Column, v: Column) -> Column:

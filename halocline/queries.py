@@ -145,6 +145,12 @@ def p9_direction(spark, sf_dir):
     return proxies.drifters(spark, sf_dir).where("k % 25 <> 0").select("event_id", F.round(scalars.direction_towards(F.col("u"), F.col("v")), 6).alias("towards"))
 
 
+@query("SELECT event_id, CASE WHEN t >= 360 THEN 0 ELSE t END AS towards FROM (SELECT event_id, round(d - 360 * floor(d / 360), 6) AS t FROM (SELECT event_id, degrees(atan2(u, v)) AS d FROM v_drift))")
+def p9_direction_all(spark, sf_dir):
+    towards = F.round(scalars.direction_towards(F.col("u"), F.col("v")), 6)
+    return proxies.drifters(spark, sf_dir).select("event_id", F.when(towards >= 360, 0.0).otherwise(towards).alias("towards"))
+
+
 @query("SELECT event_id, round(atan(0.05e0 * s * s), 6) AS theta, round(400 * (1 - cos(atan(0.05e0 * s * s))), 6) AS drop, round(400 * sin(atan(0.05e0 * s * s)), 6) AS excursion FROM (SELECT event_id, sqrt(u * u + v * v) AS s FROM v_drift)")
 def p12_knockdown(spark, sf_dir):
     theta, drop, excursion = scalars.knockdown(scalars.speed(F.col("u"), F.col("v")), 0.05, 400.0)

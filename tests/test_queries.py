@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from halocline import queries
+from halocline.functions import scalars
 from halocline.operators import metrics
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -50,3 +51,15 @@ def test_density_ratio_weighs_points_in_bands(spark):
     found = {r.id: r.rho for r in metrics.density_ratio_significance(ridges, 2, 4).collect()}
     assert found == {1: pytest.approx((50 / 4) / (40 / 2)), 2: 0.0, 6: None}
     assert metrics.density_ratio_significance(ridges.where("kind = 'noise'"), 2, 4).count() == 0
+
+
+def test_direction_is_below_360(spark):
+    rows = [(0.0, 1.0, 0.0), (1.0, 0.0, 90.0), (0.0, -1.0, 180.0), (-1.0, 0.0, 270.0), (-1e-17, 1.0, 0.0), (1e-17, 1.0, 0.0)]
+    currents = spark.createDataFrame(rows, "u double, v double, towards double")
+    found = currents.select(scalars.direction_towards(currents.u, currents.v).alias("got"), "towards").collect()
+    assert all(0 <= r.got < 360 and r.got == pytest.approx(r.towards, abs=1e-9) for r in found)
+
+
+def test_direction_of_every_event(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert queries.QUERIES["p9_direction_all"](spark, SF).count() == events
