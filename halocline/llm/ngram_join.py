@@ -15,6 +15,10 @@ verified on the whole sets. Equal texts are one class from the start. Groups of
 pairs: in each round a token's documents are only tried against one of them, links merge components, and the last round
 tries every remaining pair of different components, so no link between different components is missed.
 
+Links are counted afterwards: as linked classes share a component, every pair of classes within a component is verified,
+in blocks of about half of `BLOCK_SETS` sets and `BLOCK_TOKENS` tokens. A task takes two blocks; their common tokens are
+counted by products of 0/1 matrices, so that a group of near copies makes no row for each of its pairs.
+
 Cases: null texts and texts without words have no shingles and are linked with nothing; with fewer than five words the
 whole sequence is the one shingle; equal texts share a component; rows equal in doc_id count as one document, that of
 the least text hash; rows without doc_id are left out, as no class could name them; an empty table gives no rows; other
@@ -40,6 +44,10 @@ REGION_END = int(-(2**63) + REGION * 2**64)
 SALTS = 16
 #: Rounds that try a token's documents against one of them, at most.
 HUB_ROUNDS = 6
+#: Twice what a block of sets holds on average, as sets are dealt to blocks by hash.
+BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 18
+#: Token columns of a 0/1 matrix at once.
+COLUMNS = 4096
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -176,8 +184,69 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def join_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id): class_id is the least doc_id with the same words."""
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The number of common tokens of every set of a with every set of b; the tokens of a set are distinct."""
+    tokens = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    places = []
+    for sets in (a, b):
+        whole = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(tokens, whole), max(0, len(tokens) - 1))
+        hit = tokens[at] == whole if len(tokens) else np.zeros(len(whole), bool)
+        column, row = at[hit], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit]
+        order = np.argsort(column, kind="stable")
+        places.append((column[order], row[order], len(sets)))
+    out = np.zeros((len(a), len(b)), np.float64)
+    for start in range(0, len(tokens), COLUMNS):
+        width, parts = min(COLUMNS, len(tokens) - start), []
+        for column, row, n in places:
+            x, y = np.searchsorted(column, [start, start + width])
+            part = np.zeros((n, width), np.float32)  # sums of ones up to `COLUMNS` are exact
+            part[row[x:y], column[x:y] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _count_links(key: tuple, rows: pa.Table) -> pa.Table:
+    """(rep, n_links) of two blocks x <= y of a component: the documents of linked classes, each pair of classes once."""
+    block, reps, sizes = (rows.column(c).to_numpy() for c in ("block", "rep", "size"))
+    toks = rows.column("toks").combine_chunks()
+    data, ends = toks.values.to_numpy(), toks.offsets.to_numpy()
+    sets = [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    x, y = key[1].as_py(), key[2].as_py()
+    i, j = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    if not len(i) or not len(j):  # no class was dealt to the other block
+        return pa.table({"rep": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64())})
+    n = np.array([len(s) for s in sets], np.int64)
+    common = _common([sets[k] for k in i], [sets[k] for k in j])
+    linked = 100 * common >= PERCENT * (n[i][:, None] + n[j][None, :] - common)
+    if x == y:
+        np.fill_diagonal(linked, False)
+        ids, found = reps[i], linked @ sizes[j]
+    else:
+        ids, found = np.concatenate([reps[i], reps[j]]), np.concatenate([linked @ sizes[j], sizes[i] @ linked])
+    return pa.table({"rep": pa.array(ids, pa.int64()), "n_links": pa.array(found, pa.int64())})
+
+
+def count_links(sets: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(rep, n_links): how many documents of other classes each class is linked with, of sets (rep, n, toks), labels (rep, comp) and the sizes (rep, size) of classes of several."""
+    several = labels.groupBy("comp").agg(F.count("*").alias("reps")).where("reps > 1").select("comp")
+    members = labels.join(several, "comp", "left_semi").join(sets.select("rep", "n"), "rep").join(sizes, "rep", "left").withColumn("size", F.coalesce("size", F.lit(1)).cast("long"))
+    members = staged(members, "members")
+    # Classes are dealt to blocks by hash, half full on average; no task ranks a whole component.
+    load = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / (BLOCK_SETS // 2)), F.ceil(F.sum("n") / (BLOCK_TOKENS // 2))).alias("blocks"))
+    spread = members.join(load, "comp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    spread = spread.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "size")
+    rows = spread.join(sets.select("rep", "toks"), "rep")
+    return rows.groupBy("comp", "x", "y").applyInArrow(_count_links, "rep long, n_links long").groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+
+
+def join_documents(docs: DataFrame, links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id, n_links): class_id is the least doc_id with the same words.
+
+    n_links is the number of other documents that reach the similarity, those of the same class included; without `links`
+    it isn't counted."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
 
@@ -286,12 +355,19 @@ def join_documents(docs: DataFrame) -> DataFrame:
     found = one.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(copies.select("doc_id", "rep"), "doc_id", "left").withColumn("class_id", F.coalesce("rep", "doc_id")).drop("rep")
     found = found.join(labels.select(F.col("rep").alias("class_id"), "comp"), "class_id", "left")
     # A component's name is its least doc_id, which is that of a class, as a class is named by its least.
-    return found.select("doc_id", "n_shingles", "class_id", F.coalesce("comp", "class_id").alias("component_id"))
+    found = found.withColumn("component_id", F.coalesce("comp", "class_id"))
+    if not links:
+        return found.select("doc_id", "n_shingles", "class_id", "component_id")
+    of_classes = copies.groupBy("rep").agg((F.count("*") + 1).alias("size"))
+    counted = staged(count_links(sets, labels, of_classes), "counted").join(of_classes, "rep", "full").select(F.col("rep").alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).alias("n_links"))
+    counted = staged(counted.where("n_links > 0"), "counted")  # a row a class: a class of many documents is one key
+    found = found.join(bounded_broadcast(counted, counted.count()), "class_id", "left")
+    return found.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, less those of documents that aren't the least of their component.
 
     What goes is joined away; it is broadcast where it is few, so that texts aren't shuffled."""
-    gone = staged(join_documents(docs).where("doc_id <> component_id").select("doc_id"), "gone")
+    gone = staged(join_documents(docs, links=False).where("doc_id <> component_id").select("doc_id"), "gone")
     return docs.join(bounded_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)

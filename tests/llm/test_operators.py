@@ -81,6 +81,19 @@ def test_jaccard_components_equal_brute_force(docs, empty):
     assert ngram_join.join_documents(empty).count() == 0
 
 
+def test_jaccard_links_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 6)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 32)
+    base = [f"word{i}" for i in range(60)]
+    copies = [base[:k] + ["other"] + base[k + 1 :] for k in range(0, 60, 3)]
+    texts = [" ".join(w) for w in [*copies, *copies[:3], base[:30], [f"x{i}" for i in range(9)]]]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = {a: sum(a != b and 100 * len(x & y) >= 75 * len(x | y) for b, y in enumerate(sets)) for a, x in enumerate(sets)}
+    assert max(links.values()) > 20 and sum(links.values()) > 2 * len(texts)
+    found = ngram_join.join_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.n_links for r in found.collect()} == links
+
+
 def test_media_round_trip(docs, empty):
     rows = {r.doc_id: r for r in jpeg_media.digests(jpeg_media.store_media(docs)).collect()}
     for i, text in enumerate(TEXTS):
