@@ -111,6 +111,14 @@ def test_media_of_several_shapes():
     assert all((np.concatenate([x.ravel() for x in image]) == p).all() for image, p in zip(images, payloads, strict=True))
 
 
+@pytest.mark.parametrize("units", [8191, 8192, 8209])
+def test_media_of_payloads_over_an_image(units):
+    payload = np.random.default_rng(units).integers(0, 256, 576 * units).astype(np.uint8)
+    images = jpeg_media.decode_thumbnails(jpeg_media.encode_payloads([payload]))[0]
+    assert len(images) == (1 if units <= 8191 else 2)
+    assert (np.concatenate([x.ravel() for x in images]) == payload).all()
+
+
 PAGE = """<html><head><title>T</title></head><body><header class="site"><h1>Site</h1></header><div id="menu"><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></div><div class="cookie-notice">We use cookies.</div>
 <div class="content"><h2>Title</h2><p>Hello &lt;b&gt; w&ouml;rld &#39;x&#39;<br>next   line<p>Second <a href=z>link</a> paragraph, rather long.</p><div class=ad>Buy now</div><form><input><p>search</p></form><p>Third.</p></div>
 <div id="comments"><article class="comment"><p>Nice post and a long comment by a reader.</p></article></div><footer>(c) me</footer></body></html>"""
