@@ -130,6 +130,16 @@ def test_main_text():
     assert html_main_text.main_blocks("<div class='ad'>x<article>y</article>") == ["y"]
 
 
+def test_main_text_keeps_all_of_an_unmarked_page():
+    story = [f"Paragraph {i} of the long text that this page is about." for i in range(30)]
+    part, links = "".join(f"<p>{x}</p>" for x in story), "".join(f"<li><a href=x>See {i}</a></li>" for i in range(4))
+    advert = "<div class=ad><p>Buy</p><p>this</p><p>now</p><p>please</p></div>"
+    for between, kept in ((advert, []), (f"<ul>{links}</ul>", [f"See {i}" for i in range(4)])):
+        page = f"<div class=menu><a href=y>Home</a></div><div class=story><h1><a href=z>Head</a></h1>{part}{between}<p>The end.</p><p><a href=w>All link</a></p></div>"
+        assert html_main_text.main_blocks(page) == ["Head", *story, *kept, "The end.", "All link"]
+    assert html_main_text.main_blocks(f"<div><a href=a>A</a></div><div><a href=b>B</a></div><div><a href=c>C</a></div><div class=story>{part}</div>") == story
+
+
 def test_main_text_on_marked_pages():
     text = "".join(f"<p>Paragraph {i} of the long text that this page is about.</p>" for i in range(20))
     found = html_main_text.main_blocks(f"<div class=story>{text}</div><article><p>A teaser.</p></article>")
