@@ -18,8 +18,14 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-def pressure_to_depth(pressure: Column) -> Column:
-    return finite(pressure) * METRES_PER_DBAR
+def pressure_to_depth(pressure: Column, latitude: Column | None = None) -> Column:
+    """Metres; with a latitude by UNESCO 1983, else by a constant factor."""
+    p = finite(pressure)
+    if latitude is None:
+        return p * METRES_PER_DBAR
+    x = F.pow(F.sin(F.radians(finite(latitude))), F.lit(2.0))
+    gravity = 9.780318 * (1 + (5.2788e-3 + 2.36e-5 * x) * x) + 1.092e-6 * p
+    return (((-1.82e-15 * p + 2.279e-10) * p - 2.2512e-5) * p + 9.72659) * p / gravity
 
 
 def inertial_frequency(latitude: Column) -> Column:

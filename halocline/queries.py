@@ -69,6 +69,29 @@ def a5_current_ellipse_metrics(spark, sf_dir):
     return metrics.current_ellipse_metrics(d, ("u", "v"), ("mu", "mv"), ["series_id"]).select("series_id", "u_rmse", "u_bias", "v_rmse", "v_bias", "speed_bias")
 
 
+def _ellipse_of(prefix: str) -> str:
+    tr, det = f"({prefix}uu + {prefix}vv)", f"({prefix}uu * {prefix}vv - {prefix}uv ** 2)"
+    disc, turn = f"sqrt(greatest(({tr} / 2) ** 2 - {det}, 0))", f"(90 - degrees(atan2(2 * {prefix}uv, {prefix}uu - {prefix}vv)) / 2)"
+    return f"""round(sqrt(greatest({tr} / 2 + {disc}, 0)), 4) AS {prefix}_semi_major, round(sqrt(greatest({tr} / 2 - {disc}, 0)), 4) AS {prefix}_semi_minor,
+    round({turn} - 180 * floor({turn} / 180), 2) AS {prefix}_inclination, round({prefix}eke, 6) AS {prefix}_eke, round({prefix}mke, 6) AS {prefix}_mke"""
+
+
+def _moments_of(prefix: str, u: str, v: str) -> str:
+    return f"var_pop({u}) AS {prefix}uu, var_pop({v}) AS {prefix}vv, covar_pop({u}, {v}) AS {prefix}uv, 0.5e0 * (var_samp({u}) + var_samp({v})) AS {prefix}eke, 0.5e0 * (avg({u}) ** 2 + avg({v}) ** 2) AS {prefix}mke"
+
+
+def _errors_of(name: str, o: str, m: str) -> str:
+    return f"round(sqrt(avg(({m} - {o}) ** 2)), 6) AS {name}_rmse, round(avg({m} - {o}), 6) AS {name}_bias, round(covar_pop({o}, {m}) / nullif(stddev_pop({o}) * stddev_pop({m}), 0), 6) AS {name}_correlation"
+
+
+@query(f"""WITH x AS (SELECT series_id, u AS ou, v AS ov, u * 1.05e0 AS mu, v + 0.1e0 AS mv FROM v_drift), y AS (SELECT *, sqrt(ou * ou + ov * ov) AS os, sqrt(mu * mu + mv * mv) AS ms FROM x),
+    z AS (SELECT series_id, {_moments_of("obs", "ou", "ov")}, {_moments_of("mod", "mu", "mv")}, {_errors_of("u", "ou", "mu")}, {_errors_of("v", "ov", "mv")}, {_errors_of("speed", "os", "ms")} FROM y GROUP BY series_id)
+    SELECT series_id, {_ellipse_of("obs")}, {_ellipse_of("mod")}, u_rmse, u_bias, u_correlation, v_rmse, v_bias, v_correlation, speed_rmse, speed_bias, speed_correlation FROM z""")
+def a5_current_ellipse_metrics_all(spark, sf_dir):
+    d = proxies.drifters(spark, sf_dir).withColumn("mu", F.col("u") * 1.05).withColumn("mv", F.col("v") + 0.1)
+    return metrics.current_ellipse_metrics(d, ("u", "v"), ("mu", "mv"), ["series_id"])
+
+
 @query("SELECT series_id, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(var_samp(value), 6) AS var FROM v_drift GROUP BY series_id")
 def a7_series_stats(spark, sf_dir):
     return metrics.series_stats(proxies.drifters(spark, sf_dir), "value", ["series_id"])

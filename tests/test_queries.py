@@ -63,3 +63,13 @@ def test_direction_is_below_360(spark):
 def test_direction_of_every_event(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").count()
     assert queries.QUERIES["p9_direction_all"](spark, SF).count() == events
+
+
+def test_depth_at_a_latitude(spark):
+    depths = spark.sql("SELECT 10000 AS p, 30 AS lat UNION ALL SELECT 10000, 0")
+    found = [r[0] for r in depths.select(scalars.pressure_to_depth(depths.p, depths.lat)).collect()]
+    assert found == [pytest.approx(9712.653, abs=1e-3), pytest.approx(9725.47, abs=0.1)]  # the first is UNESCO's check value
+
+
+def test_all_keys_of_current_ellipses(spark):
+    assert len(queries.QUERIES["a5_current_ellipse_metrics_all"](spark, SF).columns) == 1 + 19
