@@ -9,8 +9,9 @@ score is its posterior under equal priors.
 Bytes are folded first: ASCII and Latin-1 capitals to small letters, digits and white space to one symbol each, and all
 bytes that training never saw to one symbol.
 
-Training takes at most about `per_language` documents a language, those of the smallest hashes; the model is bounded by
-`max_contexts`. Every document is predicted from its whole text.
+Training takes at most about `per_language` labelled documents a language, those of the smallest hashes, and every context
+they have. A language's table has a row for each context that it saw, so the model grows with the contexts of the
+languages, not with their product. Every document is predicted from its whole text.
 
 Cases: null texts and texts without a letter are `und` with score 0, as is everything if nothing could be learned; ties
 go to the language first by code point; equal texts get equal results; an empty table gives no rows; lang, source and
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks, small_batches, text_bytes
 
-#: Training documents of a language, about, and contexts of order 3 that the model keeps at most (the most frequent).
-PER_LANGUAGE, MAX_CONTEXTS = 2000, 30_000
+#: Training documents of a language, about.
+PER_LANGUAGE = 2000
 UNKNOWN = "und"
 
 
@@ -103,53 +104,48 @@ class Model:
     languages: list[str]
     codes: np.ndarray  # byte -> symbol
     size: int  # number of symbols, with the one for bytes never seen
-    rows: np.ndarray  # context of three symbols -> row of bits
-    bits: np.ndarray  # (row, symbol, language): code length
+    places: np.ndarray  # context of three symbols -> its place among all languages' contexts, or the last place
+    rows: list[np.ndarray]  # for each language: place -> row of its table
+    low: list[np.ndarray]  # for each language: context of two symbols -> row of its table
+    bits: list[np.ndarray]  # for each language (row, symbol): code length
 
 
-def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int = MAX_CONTEXTS) -> Model:
-    """The frozen trees of all languages from counts of four-byte grams, as one table of code lengths."""
+def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
+    """The frozen trees of all languages from counts of four-byte grams, each as a table of code lengths."""
     seen = np.unique(np.concatenate([(gram >> s) & 255 for s in (0, 8, 16, 24)] + [np.array([32])]))
     size, codes = len(seen) + 1, np.full(256, len(seen), np.int64)
     codes[seen] = np.arange(len(seen))
-    parts = [codes[(gram >> s) & 255] for s in (24, 16, 8, 0)]
-    many = len(languages)
-    prior = np.full((1, size, many), 1 / size)
-
-    def table(keys: np.ndarray, suffix_rows: np.ndarray, which: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Probabilities after each context: counts over (context, symbol, language), else the escape and the shorter context's."""
-        counts = np.zeros((len(suffix_rows), size, many))
-        np.add.at(counts, (which, keys, lang), n)
-        total, different = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        whole = np.maximum(total + different, 1)
-        shorter = below[suffix_rows]
-        return np.where(total == 0, shorter, np.where(counts > 0, counts / whole, different / whole * shorter))
-
-    p0 = table(parts[3], np.zeros(1, int), np.zeros(len(gram), int), prior)
-    p1 = table(parts[3], np.zeros(size, int), parts[2], p0)
-    two = parts[1] * size + parts[2]
-    keys2, which2 = np.unique(two, return_inverse=True)
-    p2 = table(parts[3], keys2 % size, which2, p1)
-    three = parts[0] * size * size + two
-    keys3, which3 = np.unique(three, return_inverse=True)
-    often = np.bincount(which3, n, len(keys3))
-    kept = np.sort(np.argsort(-often, kind="stable")[:max_contexts])
-    place = np.full(len(keys3), -1)
-    place[kept] = np.arange(len(kept))
-    used = place[which3] >= 0
-    row2 = np.full(size * size, -1)
-    row2[keys2] = np.arange(len(keys2))
-    all_lang, all_n = lang, n
-    lang, n = all_lang[used], all_n[used]
-    p3 = table(parts[3][used], row2[keys3[kept] % (size * size)], place[which3][used], p2)
-    rows = np.tile(np.tile(np.arange(size), size), size)  # the row of the context of order 1
-    first2, first3 = size, size + len(keys2)
-    rows = rows.reshape(size, size * size)
-    rows[:, keys2] = first2 + np.arange(len(keys2))
-    rows = rows.reshape(-1)
-    rows[keys3[kept]] = first3 + np.arange(len(kept))
-    bits = -np.log2(np.concatenate([p1, p2, p3])).astype(np.float32)
-    return Model(languages, codes, size, rows.astype(np.int32), bits)
+    third, second, first, last = (codes[(gram >> s) & 255] for s in (24, 16, 8, 0))
+    three = (third * size + second) * size + first
+    all_three = np.unique(three)
+    places = np.full(size**3, len(all_three), np.int32)
+    places[all_three] = np.arange(len(all_three))
+    rows, low, bits = [], [], []
+    for k in range(len(languages)):
+        own = lang == k
+        keys, weight = last[own], n[own].astype(float)
+
+        def after(which: np.ndarray, shorter: np.ndarray, keys=keys, weight=weight) -> np.ndarray:
+            """Probabilities after each context: its counts, else the escape and the shorter context's."""
+            counts = np.bincount(which * size + keys, weight, len(shorter) * size).reshape(-1, size)
+            total, different = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+            whole = np.maximum(total + different, 1)
+            return np.where(total == 0, shorter, np.where(counts > 0, counts / whole, different / whole * shorter))
+
+        p0 = after(np.zeros(len(keys), int), np.full((1, size), 1 / size))
+        p1 = after(first[own], p0[np.zeros(size, int)])
+        keys2, which2 = np.unique(second[own] * size + first[own], return_inverse=True)
+        p2 = after(which2, p1[keys2 % size])
+        keys3, which3 = np.unique(three[own], return_inverse=True)
+        row2 = np.tile(np.arange(size), size)  # of a pair never seen: the row of its last symbol
+        row2[keys2] = size + np.arange(len(keys2))
+        p3 = after(which3, np.concatenate([p1, p2])[row2[keys3 % size**2]])
+        row3 = np.append(row2[all_three % size**2], 0)
+        row3[places[keys3]] = size + len(keys2) + np.arange(len(keys3))
+        rows.append(row3.astype(np.int32))
+        low.append(row2.astype(np.int32))
+        bits.append(-np.log2(np.concatenate([p1, p2, p3])).astype(np.float32))
+    return Model(languages, codes, size, places, rows, low, bits)
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -159,10 +155,15 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
         return out
     symbols = model.codes[folded(data, offsets)]
     c1, c2, c3 = contexts(symbols, offsets, int(model.codes[32]))
-    at = model.rows[(c3 * model.size + c2) * model.size + c1]
-    cost = model.bits.reshape(-1, len(model.languages))[at.astype(np.int64) * model.size + symbols]
+    two = c2 * model.size + c1
+    place = model.places[c3 * model.size**2 + two]
+    new = np.flatnonzero(place == len(model.rows[0]) - 1)  # contexts that no language saw
     full = np.flatnonzero(np.diff(offsets) > 0)
-    out[full] = np.add.reduceat(cost, offsets[:-1][full], axis=0, dtype=np.float64)
+    for k, (rows, low, bits) in enumerate(zip(model.rows, model.low, model.bits, strict=True)):
+        at = rows[place]
+        at[new] = low[two[new]]
+        cost = bits.ravel()[at.astype(np.int64) * model.size + symbols]
+        out[full, k] = np.add.reduceat(cost, offsets[:-1][full], dtype=np.float64)
     return out
 
 
@@ -184,12 +185,12 @@ _BUILT: dict[str, Model] = {}
 class Predictor:
     """The frozen model's counts, sent to the workers; each builds the tables once."""
 
-    def __init__(self, docs: DataFrame, per_language: int = PER_LANGUAGE, max_contexts: int = MAX_CONTEXTS):
+    def __init__(self, docs: DataFrame, per_language: int = PER_LANGUAGE):
         found = gram_counts(training_rows(docs, per_language)).toPandas().sort_values(["lang", "gram"])  # bounded by the training sample
         languages = sorted(set(found["lang"]))
         number = {x: k for k, x in enumerate(languages)}
         counts = (languages, found["lang"].map(number).to_numpy(np.int16), found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
-        self.key, self.max_contexts = uuid.uuid4().hex, max_contexts
+        self.key = uuid.uuid4().hex
         self.sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -202,7 +203,7 @@ class Predictor:
         if self.key not in _BUILT:
             _BUILT.clear()
             names, lang, gram, count = self.sent.value
-            _BUILT[self.key] = build(names, lang.astype(np.int64), gram, count, self.max_contexts)
+            _BUILT[self.key] = build(names, lang.astype(np.int64), gram, count)
         model = _BUILT[self.key]
         known = has_letter(texts, data, offsets)
         for a, b in chunks(offsets, 1 << 19):
@@ -217,9 +218,9 @@ class Predictor:
         return answer, score, bits
 
 
-def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits) for every row of docs (doc_id, text, lang)."""
-    predictor = Predictor(docs, per_language, max_contexts)
+    predictor = Predictor(docs, per_language)
 
     def predict(batches):
         for batch in batches:
