@@ -37,19 +37,34 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
-RAW = frozenset("script style title textarea iframe noscript template svg math select object noembed noframes".split())
+RAW = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br button input".split())
-DROPPED = frozenset("nav footer aside form button dialog menu head".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br button input math mi mn mo mtext mrow msub msup msubsup mfrac msqrt mroot mover munder semantics".split())
+DROPPED = frozenset("nav footer aside form button dialog menu head svg iframe template select object noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar menu menus nav navbar navigation navi breadcrumb breadcrumbs footer comments comment respond replies discussion disqus related share sharing social subscribe subscription newsletter popup modal overlay widget widgets pagination pager login signup register toolbar masthead topbar recommended".split()
 )
+#: Words that may follow a hint in a class's name (`ad-box`), and those that make it no hint (`no-sidebar`).
+AROUND = frozenset("area bar block body box button buttons column container content desktop group holder icons inner item items left line link links list main mobile outer page panel right row section site slot space strip text thread top bottom unit wrap wrapper zone".split())
+NEGATED = frozenset("no not has have with without non".split())
 COMMENTS = frozenset("comments comment respond replies discussion disqus".split())
 CLOSES = {"p": frozenset("p".split()), "li": frozenset("li p".split()), "tr": frozenset("tr td th p".split()), "td": frozenset("td th p".split()), "th": frozenset("td th p".split()), "dt": frozenset("dt dd p".split()), "dd": frozenset("dt dd p".split()), "option": frozenset("option".split())}
 
 
+def _hints(name: str) -> set[str]:
+    """The words of a class or id that mark boilerplate: its last word, or one with only words like `box` behind it."""
+    words = WORD.findall(name)
+    while words and words[0] not in NEGATED:
+        if words[-1] in HINTS or words[-1] == "header":
+            return {words[-1]}
+        if words[-1] not in AROUND:
+            break
+        words.pop()
+    return set()
+
+
 def _dropped(tag: str, attributes: str, in_article: bool) -> str:
     """'' to keep, 'boilerplate' or 'comments' to drop an element."""
     if tag in DROPPED or (tag == "header" and not in_article):
@@ -60,7 +75,8 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> str:
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id"):
-            words.update(WORD.findall(value))
+            for x in value.split():
+                words |= _hints(x)
         elif name == "role":
             role = value
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
@@ -133,7 +149,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, tuple[int, ...], bool]]:
             continue
         if tag in RAW and not attributes.rstrip().endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            at = end.end() if end else n if tag in ("script", "style") else at
             continue
         if tag in VOID or attributes.rstrip().endswith("/"):
             continue
