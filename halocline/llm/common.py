@@ -18,12 +18,14 @@ CHUNK_BYTES = 1 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where the session names none."""
+    """The shared folder of the session; one of our own only where the session names none and runs in a single JVM."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         shared = found.get() if found.isDefined() else None
     if not shared:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="halocline-")
         spark.sparkContext.setCheckpointDir(shared)
     return shared.rstrip("/")
@@ -56,9 +58,15 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches small enough that a batch of long texts fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of an Arrow batch.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches small enough that a batch of long texts fits a worker; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

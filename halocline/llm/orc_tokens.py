@@ -35,7 +35,7 @@ def write_orc(docs: DataFrame, path: str, vocabulary: str) -> None:
             ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids)], ["doc_id", "n_tokens", "ids"])
 
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
     # Ranges of ids first, then encoding: what is shuffled are the texts, which are smaller than their ids.
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     encoded = ordered.mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>")
@@ -60,7 +60,7 @@ def digests(stored: DataFrame) -> DataFrame:
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first) // 4, pa.int64()), pa.array(crc, pa.int64())], ["file", "doc_id", "n_tokens", "ids_crc32"])
 
-    small_batches(stored.sparkSession, 256)
+    small_batches(stored.sparkSession)
     rows = stored.select(F.col("_metadata.file_path").alias("file"), "doc_id", "ids").mapInArrow(check, "file string, doc_id long, n_tokens long, ids_crc32 long")
     light = stored.select(F.col("_metadata.file_path").alias("file"), "doc_id", "n_tokens")  # no ids are read for this
     files = light.groupBy("file").agg(F.min("doc_id").alias("least"), F.sum("n_tokens").alias("tokens"))

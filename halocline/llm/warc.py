@@ -8,6 +8,8 @@ The reader checks every member (gzip checksum, version line, Content-Length, pay
 searches for the next place from which a record can be read whole, gzip member or bare version line, goes on there, and
 logs the bytes between as a gap.
 
+Every record has the same WARC-Date, a parameter, so that equal pages make equal archives.
+
 Cases: null and empty html have an empty payload; payloads under `least` bytes are never revisits; rows equal in page_id
 and payload get equal records; an empty table gives no rows; extra columns are ignored.
 """
@@ -33,6 +35,9 @@ FILE_ROWS, FILE_BYTES = 20_000, 24 << 20
 #: The level of the gzip members.
 LEVEL = 3
 SALTS = 16
+#: Bytes that the reader hands to the decompressor at once; what it has read beyond a member's end is at most this.
+SLICE = 1 << 14
+DATE = "2000-01-01T00:00:00Z"
 
 
 def encode_record(headers: list[tuple[str, str]], payload: bytes) -> bytes:
@@ -59,7 +64,7 @@ def decide(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return found.select("page_id", "digest", "payload_bytes", "first")
 
 
-def write_warc(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
+def write_warc(pages: DataFrame, path: str, least: int = LEAST_BYTES, date: str = DATE) -> None:
     """Writes a record for every row of pages (page_id, url, html) under path, dealt to files by page_id."""
     spark = pages.sparkSession
     rows, size = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
@@ -78,28 +83,28 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
             out = []
             for page_id, url, digest, html, refers_to in zip(*(batch.column(i) for i in range(5)), strict=True):
                 body, number, first = html.as_py().encode("utf-8", "surrogatepass"), page_id.as_py(), refers_to.as_py()
-                headers = [("WARC-Type", "response" if first is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{number}>"), ("WARC-Target-URI", re.sub(r"[\r\n]", " ", url.as_py() or "")), ("WARC-Payload-Digest", f"sha256:{digest.as_py()}"), ("X-Payload-Length", str(len(body)))]
+                headers = [("WARC-Type", "response" if first is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{number}>"), ("WARC-Date", date), ("WARC-Target-URI", re.sub(r"[\r\n]", " ", url.as_py() or "")), ("WARC-Payload-Digest", f"sha256:{digest.as_py()}"), ("X-Payload-Length", str(len(body)))]
                 if first is not None:
                     headers += [("WARC-Refers-To", f"<urn:page:{first}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")]
                     body = b""
                 out.append(gzip_member(encode_record(headers, body))[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
-    small_batches(spark, 256)
+    small_batches(spark)
     dealt.mapInArrow(records, "member binary").select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """(headers, payload, bytes read) of the record at the start of data; ValueError if a check fails."""
-    if not data.startswith(VERSION) or (end := data.find(b"\r\n\r\n")) < 0:
+def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """(headers, payload, end) of the record that begins at `at`; ValueError if a check fails."""
+    if not data.startswith(VERSION, at) or (end := data.find(b"\r\n\r\n", at)) < 0:
         raise ValueError("no version line or no end of the headers")
     try:
-        headers = dict(x.split(": ", 1) for x in data[len(VERSION) : end].decode().split("\r\n"))
+        headers = dict(x.split(": ", 1) for x in data[at + len(VERSION) : end].decode().split("\r\n"))
         length = int(headers["Content-Length"])
     except (KeyError, ValueError, UnicodeDecodeError) as error:
         raise ValueError("damaged headers") from error
     payload = data[end + 4 : end + 4 + length]
-    if len(payload) != length or data[end + 4 + length : end + 8 + length] != b"\r\n\r\n":
+    if length < 0 or len(payload) != length or data[end + 4 + length : end + 8 + length] != b"\r\n\r\n":
         raise ValueError("damaged length")
     digest = headers.get("WARC-Payload-Digest", "")
     if headers.get("WARC-Type") != "revisit" and digest.startswith("sha256:") and digest[7:] != hashlib.sha256(payload).hexdigest():
@@ -107,19 +112,29 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
     return headers, payload, end + 8 + length
 
 
+def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """(plain bytes, end) of the gzip member that begins at `at`, None if it is damaged; reads little beyond it."""
+    z, parts, view = zlib.decompressobj(31), [], memoryview(data)
+    while not z.eof:
+        if at >= len(data):
+            return None
+        try:
+            parts.append(z.decompress(view[at : at + SLICE]))
+        except zlib.error:
+            return None
+        at = min(at + SLICE, len(data))
+    return b"".join(parts), at - len(z.unused_data)
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
     """(start, end, headers, payload) of every record that can be read whole; headers None for a quarantined gap."""
 
     def read(at: int):
         if data.startswith(b"\x1f\x8b\x08", at):
-            z = zlib.decompressobj(31)
-            try:
-                plain = z.decompress(data[at:] if len(data) - at < 1 << 16 else memoryview(data)[at:])
-            except zlib.error:
+            member = inflate(data, at)
+            if not member:
                 return None
-            if not z.eof:
-                return None
-            end = len(data) - len(z.unused_data)
+            plain, end = member
             if not plain:
                 return end, None, b""  # an empty member carries nothing
             try:
@@ -127,13 +142,11 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
             except ValueError:
                 return None
             return (end, headers, payload) if used == len(plain) else None
-        if data.startswith(VERSION, at):
-            try:
-                headers, payload, used = parse_record(data[at:])
-            except ValueError:
-                return None
-            return at + used, headers, payload
-        return None
+        try:
+            headers, payload, end = parse_record(data, at)
+        except ValueError:
+            return None
+        return end, headers, payload
 
     mark, at, gap = re.compile(rb"\x1f\x8b\x08|WARC/1\.0\r\n"), 0, None
     while at < len(data):
@@ -173,7 +186,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows, kinds)
 
-    small_batches(spark, 1)
+    small_batches(spark)
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content").mapInArrow(parse, RECORD)
 
 
