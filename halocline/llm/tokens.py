@@ -1,10 +1,12 @@
 """Exact tokenizer encoding with a per-worker cache.
 
 Byte-pair merges never cross the pre-tokenizer's pieces, so a text's ids are the ids of its pieces in order. The
-library encodes each distinct piece once per worker; a text is then a lookup and a join of bytes. Texts that cannot be
-cut at spaces safely go to the library whole, so the ids always equal those of `Tokenizer.encode`.
+library encodes each distinct word about once per worker; a text is then a lookup and a join of bytes. Texts that cannot
+be cut at spaces safely, and those that hold a special token's string, go to the library whole, so the ids always equal
+those of `Tokenizer.encode(text, add_special_tokens=False)`.
 
-Strings of special tokens inside a text are ordinary text.
+A worker may live as long as its executor, so the cache is bounded: bare words only, in two generations, some 140 bytes
+an entry.
 """
 
 from __future__ import annotations
@@ -15,23 +17,28 @@ from array import array
 import numpy as np
 
 #: Entries of one cache generation; two generations are held at most.
-CACHE_ENTRIES = 250_000
-#: Longer pieces are encoded but not kept.
-CACHED_CHARS = 64
+CACHE_ENTRIES = 200_000
+#: Longer words are encoded but not kept.
+CACHED_CHARS = 32
 
 
 class _Whole(Exception):
     """The text has to be encoded in one call."""
 
 
-class _Cache(dict):
-    """Two generations: what is not asked for during a whole generation is forgotten."""
+class _Words(dict):
+    """Ids of words, in two generations: what is not asked for during a whole generation is forgotten.
+
+    A word with a full stop or comma is put together from the word's entry and the mark's, and takes none itself."""
 
     def __init__(self, make):
         super().__init__()
         self.make, self.old = make, {}
+        self.marks: dict[str, bytes] = {}
 
     def __missing__(self, key):
+        if key[-1:] in self.marks and max(key) < "\u0100" and key[:-1].isalpha():
+            return self[key[:-1]] + self.marks[key[-1]]
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
@@ -54,9 +61,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            pre = json.load(f)["pre_tokenizer"]
+            made = json.load(f)
+        pre = made["pre_tokenizer"]
         if pre["type"] == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             # fixed value: the published pattern of the byte-level vocabulary
             self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -66,40 +73,46 @@ class Encoder:
             self.spaced = False
         else:
             raise ValueError(f"no exact cutting rule for the pre-tokenizer of {path}")
+        #: What the library looks for before it cuts; where case or form is folded first, the folded text is searched.
+        self.special = [x["content"] for x in made["added_tokens"]]
+        self.folded = any(x["normalized"] for x in made["added_tokens"])
         self.model = self.tokenizer.model
         # fixed values: the byte-level alphabet shows printable Latin-1 bytes as themselves, the others from U+0100 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte_chars = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*shown}))}
-        self.pieces = _Cache(self._piece)
-        self.heads = _Cache(lambda s: self._chunk(s))
-        self.tails = _Cache(lambda s: self._chunk(" " + s) if s and not s[0].isspace() else self._refuse())
-        self.words = _Cache(lambda s: self._chunk(s.lower() if s.isascii() else s) if s else b"")
+        self.words = _Words(self._after_space if self.spaced else self._between_spaces)
+        self.words.marks = {x: self._piece(x) for x in ".,"}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _refuse(self) -> bytes:
-        raise _Whole
-
     def _piece(self, piece: str) -> bytes:
         """One pre-token: straight to the merges, as the library does after cutting."""
         return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.byte_chars))]).tobytes()
 
+    def _after_space(self, word: str) -> bytes:
+        """A word with the space before it; white space at its head would join that space's piece."""
+        if not word or word[0].isspace():
+            raise _Whole
+        return self._chunk(" " + word)
+
+    def _between_spaces(self, word: str) -> bytes:
+        return self._chunk(word.lower() if word.isascii() else word) if word else b""
+
     def _chunk(self, chunk: str) -> bytes:
-        if chunk and max(chunk) < "Ā":  # the pattern means the same in both libraries here
+        if chunk and max(chunk) < "\u0100":  # the pattern means the same in both libraries here
             if not self.spaced:
                 chunk = chunk.lower()
-            word = chunk[1:] if chunk[0] == " " else chunk
-            if word.isalpha():
-                return self.pieces[chunk]
-            if word[-1:] in (".", ",") and word[:-1].isalpha():
-                return self.pieces[chunk[:-1]] + self.pieces[word[-1]]
-            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
+            if chunk[chunk[0] == " " :].isalpha():
+                return self._piece(chunk)
+            return b"".join(map(self._piece, self.pattern.findall(chunk)))
         return self._whole(chunk)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(x in (text.lower() if self.folded else text) for x in self.special):
+            return self._whole(text)
         if not self.spaced:  # white space only separates pieces here
             return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
         parts = text.split(" ")
@@ -107,9 +120,9 @@ class Encoder:
             # A space before a visible character always begins a piece, whatever stands before it.
             if not parts[0]:
                 raise _Whole
-            head = self.heads[parts[0]]
+            head = self._chunk(parts[0])
             del parts[0]
-            return head + b"".join(map(self.tails.__getitem__, parts))
+            return head + b"".join(map(self.words.__getitem__, parts))
         except _Whole:
             return self._whole(text)
 
