@@ -8,21 +8,26 @@ prefix tokens under every order that is used:
   more tokens of a document than its prefix needs; the rest of the space follows by hash. A token that one document has
   alone takes its place in the prefix but needs no index entry, so a document whose prefix has only such tokens is done.
   Among the documents that are left, the order is taken again with the frequencies of all tokens.
-- order B: by descending hash, over whole sets.
+- order B: by descending hash, over whole sets;
+- order C: by ascending hash with its halves exchanged, over whole sets.
 
-Pairs that pass A's index (with its position and length bounds) are joined with B's prefixes, and what passes both is
-verified on the whole sets. Equal texts are one class from the start. Groups of near copies are not expanded into all
-pairs: in each round a token's documents are only tried against one of them, links merge components, and the last round
-tries every remaining pair of different components, so no link between different components is missed.
+Equal texts are one class from the start. What shares a prefix token under A (and keeps A's length and position bounds)
+is tried in two ways, and under both a candidate must share prefix tokens under B and C too before the whole sets are
+compared:
+
+- in the first rounds a token's documents are only tried against one of them, so a group of near copies takes as many
+  pairs as it has documents; links merge components, and tokens whose documents share one are done;
+- then what is left of each token, documents of different components, is compared in blocks of about half of
+  `BLOCK_SETS` sets and `BLOCK_TOKENS` tokens. A task takes two blocks, finds common tokens by products of 0/1 matrices and
+  returns which components meet; no row is made for a pair. So no link between different components is missed.
 
 Links are counted afterwards: as linked classes share a component, every pair of classes within a component is verified,
-in blocks of about half of `BLOCK_SETS` sets and `BLOCK_TOKENS` tokens. A task takes two blocks; their common tokens are
-counted by products of 0/1 matrices, so that a group of near copies makes no row for each of its pairs.
+in blocks too.
 
 Cases: null texts and texts without words have no shingles and are linked with nothing; with fewer than five words the
 whole sequence is the one shingle; equal texts share a component; rows equal in doc_id count as one document, that of
-the least text hash; rows without doc_id are left out, as no class could name them; an empty table gives no rows; other
-columns are ignored.
+the least text hash; a row without doc_id gets its n_shingles, no class or component, as none could be named, and no links;
+texts of any length are taken whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,9 +48,11 @@ REGION = 0.35
 REGION_END = int(-(2**63) + REGION * 2**64)
 SALTS = 16
 #: Rounds that try a token's documents against one of them, at most.
-HUB_ROUNDS = 6
+HUB_ROUNDS = 3
 #: Twice what a block of sets holds on average, as sets are dealt to blocks by hash.
 BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 18
+#: Index rows that a task looks for partners in, on average.
+TASK_ROWS = 20_000
 #: Token columns of a 0/1 matrix at once.
 COLUMNS = 4096
 
@@ -152,7 +159,29 @@ def _sizes(sets: list[np.ndarray]) -> list:
 
 
 def _whole(sets: list[np.ndarray]) -> list:
-    return [_listed(sets), _listed([s[len(s) - int(prefix_length(np.array(len(s)))) :] for s in sets])]
+    return [_listed(sets)]
+
+
+def late_prefix(s: np.ndarray) -> np.ndarray:
+    """The prefix under order B of an ascending set."""
+    return s[len(s) - int(prefix_length(np.array(len(s)))) :]
+
+
+def turned_prefix(s: np.ndarray) -> np.ndarray:
+    """The prefix under order C."""
+    u = s.view(np.uint64)
+    order = ((u << np.uint64(32)) | (u >> np.uint64(32))).view(np.int64)
+    n = int(prefix_length(np.array(len(s))))
+    return s[np.argpartition(order, n - 1)[:n]] if n < len(s) else s
+
+
+def _late(toks: str, n: str):
+    return F.slice(toks, -(F.col(n) - F.ceil(F.col(n) * PERCENT / 100) + 1).cast("int"), (F.col(n) - F.ceil(F.col(n) * PERCENT / 100) + 1).cast("int"))
+
+
+def _turned(toks: str, n: str):
+    turned = F.array_sort(F.transform(toks, lambda t: F.shiftleft(t, 32).bitwiseOR(F.shiftrightunsigned(t, 32))))
+    return F.slice(turned, 1, (F.col(n) - F.ceil(F.col(n) * PERCENT / 100) + 1).cast("int"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,12 +236,86 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _sets(rows: pa.Table) -> list[np.ndarray]:
+    toks = rows.column("toks").combine_chunks()
+    data, ends = toks.values.to_numpy(), toks.offsets.to_numpy()
+    return [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _groups(rows: pa.Table) -> list[np.ndarray]:
+    """Row numbers of every (tok, x, y) among the rows."""
+    tok, x, y = (rows.column(c).to_numpy() for c in ("tok", "x", "y"))
+    order = np.lexsort((y, x, tok))
+    new = np.zeros(len(order), bool)
+    for key in (tok[order], x[order], y[order]):
+        new[1:] |= key[1:] != key[:-1]
+    return np.split(order, np.flatnonzero(new))
+
+
+def _may_link(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows i against rows j (broadcast): whether A's bounds let them link across components, and the overlap needed."""
+    (n, m), room = (rows["n"][i], rows["n"][j]), np.minimum(rows["n"][i] - rows["pos"][i], rows["n"][j] - rows["pos"][j])
+    need = -(-PERCENT * (n + m) // (100 + PERCENT))
+    return (rows["comp"][i] != rows["comp"][j]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (1 + room >= need), need
+
+
+ENTRY = ("tok", "x", "y", "block", "rep", "n", "pos", "comp")
+
+
+def _with_partner(table: pa.Table) -> pa.Table:
+    """The rows of groups (tok, x, y) that A's bounds let link with another of their group, block x against block y."""
+    rows, groups = {c: table.column(c).to_numpy().astype(np.int64) for c in ENTRY}, _groups(table)
+    keep = np.zeros(len(table), bool)
+    twos = np.array([g for g in groups if len(g) == 2], np.int64).reshape(-1, 2)
+    i, j = twos[:, 0], twos[:, 1]
+    may = _may_link(rows, i, j)[0] & ((rows["x"][i] == rows["y"][i]) | (rows["block"][i] != rows["block"][j]))
+    keep[twos[may].ravel()] = True
+    for group in (g for g in groups if len(g) > 2):
+        i, j = (group[rows["block"][group] == rows[side][group[0]]] for side in ("x", "y"))
+        may = _may_link(rows, i[:, None], j[None, :])[0]
+        keep[i[may.any(1)]] = keep[j[may.any(0)]] = True
+    return table.filter(pa.array(keep)).select(ENTRY)
+
+
+def _meetings(table: pa.Table) -> pa.Table:
+    """(u, v): the components that meet in any of the block pairs (tok, x, y) among the rows; each pair of components once."""
+    rows, sets, found = {c: table.column(c).to_numpy().astype(np.int64) for c in ENTRY}, _sets(table), set()
+    for group in _groups(table):
+        i, j = (group[rows["block"][group] == rows[side][group[0]]] for side in ("x", "y"))
+        may, need = _may_link(rows, i[:, None], j[None, :])
+        for prefix in (late_prefix, turned_prefix):
+            if may.any():
+                may &= _common([prefix(sets[k]) for k in i], [prefix(sets[k]) for k in j]) > 0
+        if may.any():
+            some, other = may.any(1), may.any(0)
+            i, j, may, need = i[some], j[other], may[some][:, other], need[some][:, other]
+            a, b = np.nonzero(may & (_common([sets[k] for k in i], [sets[k] for k in j]) >= need))
+            u, v = rows["comp"][i[a]], rows["comp"][j[b]]
+            found.update(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True))
+    u, v = zip(*sorted(found), strict=True) if found else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def meet_in_blocks(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) of live (tok, rep, n, pos, comp): components with a link between documents that share a token, all of them.
+
+    First the rows without a partner in A's bounds are left out, by small columns alone; then sets are joined."""
+    load = live.groupBy("tok").agg(F.count("*").alias("rows"), F.greatest(F.ceil(F.count("*") / (BLOCK_SETS // 2)), F.ceil(F.sum("n") / (BLOCK_TOKENS // 2))).alias("blocks"))
+    load = staged(load, "load")
+    n_rows = load.agg(F.coalesce(F.sum(F.col("rows") * F.col("blocks")), F.lit(0))).first()[0]
+    spread = live.join(load, "tok").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    spread = spread.select("tok", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "n", "pos", "comp")
+    dealt = lambda df, tasks: df.withColumn("task", F.pmod(F.xxhash64("tok", "x", "y"), F.lit(max(1, int(tasks))))).groupBy("task")
+    rows = staged(dealt(spread, n_rows // TASK_ROWS).applyInArrow(_with_partner, "tok long, x int, y int, block int, rep long, n int, pos int, comp long"), "blocks")
+    n_tokens = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return dealt(rows.join(sets.select("rep", "toks"), "rep"), n_tokens // (2 * BLOCK_TOKENS)).applyInArrow(_meetings, "u long, v long").distinct()
+
+
 def _count_links(key: tuple, rows: pa.Table) -> pa.Table:
     """(rep, n_links) of two blocks x <= y of a component: the documents of linked classes, each pair of classes once."""
     block, reps, sizes = (rows.column(c).to_numpy() for c in ("block", "rep", "size"))
-    toks = rows.column("toks").combine_chunks()
-    data, ends = toks.values.to_numpy(), toks.offsets.to_numpy()
-    sets = [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    sets = _sets(rows)
     x, y = key[1].as_py(), key[2].as_py()
     i, j = np.flatnonzero(block == x), np.flatnonzero(block == y)
     if not len(i) or not len(j):  # no class was dealt to the other block
@@ -242,16 +345,17 @@ def count_links(sets: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFra
     return rows.groupBy("comp", "x", "y").applyInArrow(_count_links, "rep long, n_links long").groupBy("rep").agg(F.sum("n_links").alias("n_links"))
 
 
-def join_documents(docs: DataFrame, links: bool = True) -> DataFrame:
+def join_documents(docs: DataFrame, count: bool = True) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, n_links): class_id is the least doc_id with the same words.
 
-    n_links is the number of other documents that reach the similarity, those of the same class included; without `links`
+    n_links is the number of other documents that reach the similarity, those of the same class included; without `count`
     it isn't counted."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     # Classes of equal texts. Only groups of several are joined back, salted: a group may hold a third of all rows.
-    keyed = staged(_map_sets(texts, _sizes, "doc_id long, sig binary, n int, m int"), "keys")
+    every = staged(_map_sets(texts, _sizes, "doc_id long, sig binary, n int, m int"), "keys")
+    texts, keyed = texts.where("doc_id IS NOT NULL"), every.where("doc_id IS NOT NULL")
     rows, ids = keyed.agg(F.count("*"), F.count_distinct("doc_id")).first()
     one = keyed if rows == ids else staged(keyed.groupBy("doc_id").agg(F.min(F.struct("sig", "n", "m")).alias("x")).select("doc_id", "x.*"), "keys")
     groups = one.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1")
@@ -283,7 +387,7 @@ def join_documents(docs: DataFrame, links: bool = True) -> DataFrame:
     discard(shared, index)
     n_alive = alive.count()
     wanted = texts.join(bounded_broadcast(alive.withColumnRenamed("rep", "doc_id"), n_alive), "doc_id", "left_semi")
-    sets = staged(of_representatives(_map_sets(wanted, _whole, "doc_id long, sig binary, n int, toks array<long>, late array<long>")).drop("sig").withColumnRenamed("doc_id", "rep"), "sets")
+    sets = staged(of_representatives(_map_sets(wanted, _whole, "doc_id long, sig binary, n int, toks array<long>")).drop("sig").withColumnRenamed("doc_id", "rep"), "sets")
 
     # Order A again, exactly: among the documents left, the frequencies of all their tokens are few enough to count.
     entries = sets.select("rep", F.explode("toks").alias("tok"))
@@ -300,12 +404,10 @@ def join_documents(docs: DataFrame, links: bool = True) -> DataFrame:
         return sets.join(bounded_broadcast(ends, 2 * pairs.count()), "rep", "left_semi")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b): those that share prefix tokens under order B too, and then reach the similarity."""
-        late = sets_of(pairs).select("rep", "late")
-        met = pairs.join(late.select(F.col("rep").alias("a"), F.col("late").alias("late_a")), "a").join(late.select(F.col("rep").alias("b"), F.col("late").alias("late_b")), "b")
-        met = staged(met.where(F.arrays_overlap("late_a", "late_b")).select("a", "b"), "met")
-        whole = sets_of(met).select("rep", "n", "toks")
-        met = met.join(whole.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("toks").alias("toks_a")), "a").join(whole.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("toks").alias("toks_b")), "b")
+        """Of pairs (a, b): those that share prefix tokens under orders B and C too, and then reach the similarity."""
+        whole = sets_of(pairs).select("rep", "n", "toks", _late("toks", "n").alias("late"), _turned("toks", "n").alias("turned"))
+        side = lambda x: whole.select(*[F.col(c).alias(f"{c}_{x}") for c in ("n", "toks", "late", "turned")], F.col("rep").alias(x))
+        met = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("late_a", "late_b") & F.arrays_overlap("turned_a", "turned_b"))
         common = F.size(F.array_intersect("toks_a", "toks_b")).cast("long")
         return met.withColumn("common", common).where(100 * F.col("common") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
@@ -315,28 +417,26 @@ def join_documents(docs: DataFrame, links: bool = True) -> DataFrame:
         possible = 1 + F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos"))
         return (100 * F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) >= PERCENT * F.greatest(F.col(f"{x}.n"), F.col(f"{y}.n"))) & (possible >= need)
 
-    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-        ends = links.join(labels.select(F.col("rep").alias("a"), F.col("comp").alias("u")), "a").join(labels.select(F.col("rep").alias("b"), F.col("comp").alias("v")), "b")
-        roots = components(ends.select("u", "v"))
+    def merged(labels: DataFrame, met: DataFrame) -> DataFrame:
+        """labels (rep, comp) once the components (u, v) are one."""
+        roots = components(met)
         return staged(labels.join(roots, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("root", "comp").alias("comp")), "labels")
 
     labels = staged(alive.withColumn("comp", F.col("rep")), "labels")
-    tried, live, turn, done = None, index, 0, False
-    while True:
+    tried, live = None, index
+    for turn in range(HUB_ROUNDS + 1):
         members = live.select("tok", "rep", "n", "pos").join(labels, "rep")
         open_tokens = members.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), "rep", "n", "pos", "comp")).alias("hub")).where("lo <> hi")
         open_tokens = staged(open_tokens, "open")
         # A token whose documents share a component has nothing left to try, now or later: components only grow.
         before, live = live, staged(members.join(open_tokens.select("tok"), "tok", "left_semi"), "live")
         discard(before)
-        last = done or turn >= HUB_ROUNDS
-        if not last:
-            hubs = open_tokens.select("tok", F.col("hub.rep").alias("rep"), F.col("hub.n").alias("n"), F.col("hub.pos").alias("pos"), F.col("hub.comp").alias("comp"))
-            x, y = hubs.alias("x"), live.alias("y")
-            pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y"))
-        else:
-            x, y = live.alias("x"), live.alias("y")
-            pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y"))
+        if turn == HUB_ROUNDS:
+            labels = merged(labels, meet_in_blocks(live, sets))
+            break
+        hubs = open_tokens.select("tok", F.col("hub.rep").alias("rep"), F.col("hub.n").alias("n"), F.col("hub.pos").alias("pos"), F.col("hub.comp").alias("comp"))
+        x, y = hubs.alias("x"), live.alias("y")
+        pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") != F.col("y.comp")) & may_link("x", "y"))
         pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -344,30 +444,27 @@ def join_documents(docs: DataFrame, links: bool = True) -> DataFrame:
         discard(open_tokens)
         tried = pairs if tried is None else tried.union(pairs)
         links = staged(linked(pairs), "links")
-        if not links.isEmpty():
-            labels = merged(labels, links)
-        elif turn:
-            done = True  # nothing new from a hub: what is left is tried pair by pair
-        if last:
-            break
-        turn += 1
+        ends = links.join(labels.select(F.col("rep").alias("a"), F.col("comp").alias("u")), "a").join(labels.select(F.col("rep").alias("b"), F.col("comp").alias("v")), "b")
+        labels = merged(labels, ends.select("u", "v"))
 
+    nameless = every.where("doc_id IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("component_id"))
     found = one.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(copies.select("doc_id", "rep"), "doc_id", "left").withColumn("class_id", F.coalesce("rep", "doc_id")).drop("rep")
     found = found.join(labels.select(F.col("rep").alias("class_id"), "comp"), "class_id", "left")
     # A component's name is its least doc_id, which is that of a class, as a class is named by its least.
     found = found.withColumn("component_id", F.coalesce("comp", "class_id"))
-    if not links:
-        return found.select("doc_id", "n_shingles", "class_id", "component_id")
+    if not count:
+        return found.select("doc_id", "n_shingles", "class_id", "component_id").union(nameless)
     of_classes = copies.groupBy("rep").agg((F.count("*") + 1).alias("size"))
     counted = staged(count_links(sets, labels, of_classes), "counted").join(of_classes, "rep", "full").select(F.col("rep").alias("class_id"), (F.coalesce("n_links", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).alias("n_links"))
     counted = staged(counted.where("n_links > 0"), "counted")  # a row a class: a class of many documents is one key
     found = found.join(bounded_broadcast(counted, counted.count()), "class_id", "left")
-    return found.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = found.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return found.union(nameless.withColumn("n_links", F.lit(0).cast("long")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, less those of documents that aren't the least of their component.
+    """The rows of docs, with all their columns, less those of documents that aren't the least of their component; rows without doc_id stay.
 
     What goes is joined away; it is broadcast where it is few, so that texts aren't shuffled."""
-    gone = staged(join_documents(docs, links=False).where("doc_id <> component_id").select("doc_id"), "gone")
+    gone = staged(join_documents(docs, count=False).where("doc_id <> component_id").select("doc_id"), "gone")
     return docs.join(bounded_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
