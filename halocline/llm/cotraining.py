@@ -2,7 +2,7 @@
 
 View one is the text's content: hashed trigrams of its bytes, the shares of kinds of characters, lines, and how many words
 differ. View two is the page's metadata: language, source and their n_chars in steps; it reads nothing of the text. A
-logistic classifier is fitted to each view on the labelled rows. In every round each view scores all unlabelled rows, and
+logistic classifier is fitted to each view on a sample of the labelled rows. In every round each view scores all rows outside that sample, and
 the ones that it is most certain of, of either class in the proportion of the labels, join the other view's training rows.
 Both are then calibrated on labelled rows set aside, and a document's log odds are the sum of the views' calibrated ones less
 the prior's, which both hold.
@@ -35,6 +35,8 @@ ROUNDS = 3
 GROWTH = 0.1
 #: Share of the good labelled rows set aside that the threshold keeps; what is lost wrongly weighs more than what stays.
 KEPT = 0.995
+#: Buckets of ids that the tasks' best rows are ranked in first.
+BUCKETS = 64
 TRIGRAMS = 512
 SOURCES, LANGS, SIZES = 16, 8, 18
 
@@ -129,10 +131,12 @@ def sample_features(docs: DataFrame, known: DataFrame, labelled: int):
     return joined.mapInArrow(views, "doc_id long, label int, content array<float>, metadata array<float>").toPandas()
 
 
-def most_certain(unlabelled: DataFrame, weights: list[np.ndarray], taken: list[list[int]], n_good: int, n_bad: int):
-    """(view, good, content, metadata) of the rows of all of `unlabelled` that each view is most certain of.
+def most_certain(rows: DataFrame, weights: list[np.ndarray], taken: list[list[int]], n_good: int, n_bad: int):
+    """(view, good, content, metadata) of the rows that each view is most certain of, among all but those it has taken.
 
-    Each task keeps its own best, so no more than tasks times 2 (n_good + n_bad) rows of fixed width are sorted."""
+    Each task keeps its own best, so no more than tasks times 2 (n_good + n_bad) rows of fixed width are shuffled; they are
+    ranked by bucket of the id first, then the best of the buckets."""
+    taken = [set(x) for x in taken]
 
     def best(batches):
         kept: dict[tuple, list] = {(view, good): [] for view in (0, 1) for good in (0, 1)}
@@ -153,9 +157,11 @@ def most_certain(unlabelled: DataFrame, weights: list[np.ndarray], taken: list[l
             view, good, z, ids, content, metadata = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(view, pa.int32()), pa.array(good, pa.int32()), pa.array(z), pa.array(ids, pa.int64()), _listed(np.array(content)), _listed(np.array(metadata))], ["view", "good", "z", "doc_id", "content", "metadata"])
 
-    found = unlabelled.mapInArrow(best, "view int, good int, z double, doc_id long, content array<float>, metadata array<float>")
-    place = F.row_number().over(Window.partitionBy("view", "good").orderBy(F.desc("z"), "doc_id"))
-    return found.withColumn("place", place).where(F.col("place") <= F.when(F.col("good") == 1, n_good).otherwise(n_bad)).toPandas().sort_values(["view", "good", "place"])
+    found = rows.mapInArrow(best, "view int, good int, z double, doc_id long, content array<float>, metadata array<float>")
+    for groups in (("view", "good", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))), ("view", "good")):
+        place = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("z"), "doc_id"))
+        found = found.withColumn("place", place).where(F.col("place") <= F.when(F.col("good") == 1, n_good).otherwise(n_bad))
+    return found.toPandas().sort_values(["view", "good", "place"])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float = 1e-4) -> np.ndarray:
@@ -236,10 +242,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED):
     sample = sample_features(docs, known, labelled).sort_values("doc_id")
     model = None
     if len(sample):
-        unlabelled = rows_of(docs).where("doc_id IS NOT NULL").join(known.select("doc_id"), "doc_id", "left_anti").select(*NAMES)
+        sampled = sample["doc_id"].tolist()  # what is labelled beyond the sample counts as unlabelled: no join with the texts
 
         def certain(weights, taken, n_good, n_bad):
-            found = most_certain(unlabelled, weights, taken, n_good, n_bad)
+            found = most_certain(rows_of(docs), weights, [sampled + x for x in taken], n_good, n_bad)
             for view in (0, 1):
                 own = found[found["view"] == view]
                 yield own["good"].to_numpy(float), own["doc_id"].tolist(), [np.array(own[c].tolist(), np.float32) for c in ("content", "metadata")]
