@@ -8,7 +8,9 @@ import zlib
 import numpy as np
 import pytest
 
-from halocline.llm import html_main_text, jpeg_media, ngram_join, orc_tokens, packing, ppm_langid, source_schedule, warc, weak_supervision
+from tokenizers import Tokenizer
+
+from halocline.llm import html_main_text, jpeg_media, ngram_join, orc_tokens, packing, ppm_langid, source_schedule, tokens, warc, weak_supervision
 from halocline.llm.queries import BYTE_BPE, WORD_BPE, vocabulary
 from halocline.llm.tokens import Encoder
 
@@ -35,6 +37,21 @@ def test_cached_ids_equal_the_librarys(name):
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_special_strings_are_the_librarys(name):
+    plain, coder = Tokenizer.from_file(vocabulary(name)), Encoder(vocabulary(name))
+    for text in ["<|endoftext|>", "a <|endoftext|> b", "a<|startoftext|>b <|ENDOFTEXT|>", "don't, stop. Ünï,", "x日本. q"]:
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_the_word_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 50)
+    coder = Encoder(vocabulary(BYTE_BPE))
+    text = "a " + " ".join(f"w{i}" for i in range(400)) + " w3. w7, " + "long" * 40
+    assert np.frombuffer(coder.encode(text), "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(coder.words) <= 50 and len(coder.words.old) <= 50
+
+
 def test_packing_is_whole_and_gapless(docs, empty):
     coder = Encoder(vocabulary(BYTE_BPE))
     pieces, placed = packing.pack_documents(docs, vocabulary(BYTE_BPE), 128)
@@ -94,6 +111,43 @@ def test_jaccard_links_are_all_counted(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in found.collect()} == links
 
 
+def brute_components(texts):
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    name = list(range(len(sets)))
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if 100 * len(x & y) >= 75 * len(x | y):
+                name = [min(name[a], name[b]) if n in (name[a], name[b]) else n for n in name]
+    return name
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_jaccard_last_round_in_blocks(spark, monkeypatch, rounds):
+    """Without the rounds that try one document of a token, the blocks alone find all components."""
+    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 6)
+    monkeypatch.setattr(ngram_join, "TASK_ROWS", 50)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 32)
+    rng = np.random.default_rng(rounds)
+    base = [[f"b{g}w{i}" for i in range(50)] for g in range(4)]
+    texts = []
+    for k in range(60):  # near the similarity asked for, on both sides
+        words = list(base[k % 4])
+        for at in rng.choice(50, rng.integers(0, 4), replace=False):
+            words[at] = f"new{rng.integers(0, 9)}"
+        texts.append(" ".join(words))
+    found = ngram_join.join_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.component_id for r in sorted(found.collect())] == brute_components(texts)
+
+
+def test_jaccard_rows_without_id_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, BASE), (None, None), (3, BASE), (3, BASE), (5, BASE.upper()), (6, None)], "doc_id long, text string")
+    rows = ngram_join.join_documents(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in rows if r.doc_id) == [(3, 56, 3, 1), (5, 56, 3, 1), (6, 0, 6, 0)]
+    assert sorted((r.n_shingles, r.component_id, r.n_links) for r in rows if r.doc_id is None) == [(0, None, 0), (56, None, 0)]
+    assert sorted(str(r.doc_id) for r in ngram_join.keep_one(docs).collect()) == ["3", "3", "6", "None", "None"]
+
+
 def test_media_round_trip(docs, empty):
     rows = {r.doc_id: r for r in jpeg_media.digests(jpeg_media.store_media(docs)).collect()}
     for i, text in enumerate(TEXTS):
@@ -148,6 +202,21 @@ def test_main_text_on_marked_pages():
     assert html_main_text.main_blocks(f"<div>Tagline of the site</div>{article}<div>Imprint</div>") == ["Head", "Text of the article.", "All link"]
 
 
+def test_main_text_drops_the_named_parts_only():
+    page = "<article><p>One <math><mi>x</mi></math> two.</p><noscript><p>Shown.</p></noscript><p class='share-price'>The price of the share.</p><div class='related-work no-sidebar'>Work related to it.</div><div class='ad-box'>Buy.</div><div class='site-footer'>Me.</div></article>"
+    assert html_main_text.main_blocks(page) == ["One x two.", "Shown.", "The price of the share.", "Work related to it."]
+    assert html_main_text.main_blocks("<div><p>Before the picture.</p><div><svg><path></div><p>Behind an open picture.</p></div>") == ["Before the picture.", "Behind an open picture."]
+    long = "Text &amp; more. " * 20000
+    assert html_main_text.main_text(f"<article><p>{long}</p></article>") == html_main_text.html.unescape(long).strip()
+
+
+def test_main_text_of_odd_tables(spark):
+    rows = [(1, None, None), (None, "u", ""), (2, "u", "<p>same text here</p>"), (2, "u", "<p>same text here</p>")]
+    found = html_main_text.extract(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")).collect()
+    assert sorted(str((r.page_id, r.text)) for r in found) == ["(1, '')", "(2, 'same text here')", "(2, 'same text here')", "(None, '')"]
+    assert html_main_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_orc_digests(spark, docs, empty, tmp_path):
     coder, start = Encoder(vocabulary(WORD_BPE)), 0
     orc_tokens.write_orc(docs, f"file://{tmp_path}/a", vocabulary(WORD_BPE))
@@ -157,6 +226,8 @@ def test_orc_digests(spark, docs, empty, tmp_path):
         ids = coder.encode(text) + b"\1\0\0\0"
         assert (rows[i].start, rows[i].n_tokens, rows[i].ids_crc32) == (start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
+    orc_tokens.write_orc(empty, f"file://{tmp_path}/b", vocabulary(WORD_BPE))
+    assert orc_tokens.digests(orc_tokens.read_orc(spark, f"file://{tmp_path}/b")).count() == 0
     assert "EqualTo(doc_id,3)" in stored.where("doc_id = 3")._jdf.queryExecution().toString()
 
 
@@ -174,6 +245,19 @@ def test_warc_revisits_and_salvage(spark):
     assert sum(end - start for start, end, _, _ in found) == len(damaged) and sum(h is None for _, _, h, _ in found) == 2
 
 
+def test_salvage_reads_long_and_many_records():
+    bodies = [bytes([k % 251]) * (3 * warc.SLICE) + str(k).encode() for k in range(5)] + [b"b%d" % k for k in range(2000)]
+    data = b"".join(warc.gzip_member(warc.encode_record([("WARC-Type", "response")], b)) if k % 3 else warc.encode_record([("WARC-Type", "response")], b) for k, b in enumerate(bodies))
+    found = list(warc.salvage(data))
+    assert [x[3] for x in found] == bodies and found[-1][1] == len(data)
+
+
+def test_warc_headers_and_empty_tables(spark):
+    rows = warc.archive(spark.createDataFrame([(1, "u\r\nx", "body", 0), (1, "u\r\nx", "body", 0), (None, None, "é" * 200, 0)], "page_id long, url string, html string, start long")).collect()
+    assert len(rows) == 3 and all(r.headers["WARC-Date"] == warc.DATE and not r.is_gap for r in rows)
+    assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_quality_measures(docs, empty):
     rows = {r.doc_id: r for r in weak_supervision.judge(docs).collect()}
     for i, text in enumerate(TEXTS):
@@ -207,3 +291,53 @@ def test_language_held_out(spark, docs, empty):
     rows = {r.doc_id: r for r in ppm_langid.identify(docs).collect()}
     assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (0, 1, 2))
     assert ppm_langid.identify(empty).count() == 0
+
+
+def test_code_lengths_equal_a_plain_coder():
+    """Every text's bits, by a tree of dictionaries."""
+    texts = {"a": [b"the cat sat on the mat", b"then that hat"], "b": [b"der hund und die katze", b"und dann der hut"]}
+    grams = {}
+    for lang, some in texts.items():
+        for t in some:
+            padded = b"   " + t
+            for k in range(len(t)):
+                g = padded[k : k + 4]
+                grams[lang, g] = grams.get((lang, g), 0) + 1
+    keys = sorted(grams)
+    model = ppm_langid.build(["a", "b"], np.array(["ab".index(l) for l, _ in keys]), np.array([int.from_bytes(g, "big") for _, g in keys]), np.array([grams[k] for k in keys]))
+    alphabet = {c for _, g in keys for c in g} | {32}
+
+    def chance(lang, context, symbol):
+        if context is None:
+            return 1 / (len(alphabet) + 1)
+        counts = {}
+        for (l, g), n in grams.items():
+            if l == lang and (not context or g[3 - len(context) : 3] == context):
+                counts[g[3]] = counts.get(g[3], 0) + n
+        shorter = lambda: chance(lang, context[1:] if context else None, symbol)
+        if not counts:
+            return shorter()
+        whole = sum(counts.values()) + len(counts)
+        return counts[symbol] / whole if symbol in counts else len(counts) / whole * shorter()
+
+    for text in (b"the hat", b"der hut", b"then und zq", b"a", b"mat hund thedie"):
+        got = ppm_langid.code_lengths(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        for k, lang in enumerate("ab"):
+            want = -sum(np.log2(chance(lang, (b"   " + text)[i : i + 3], text[i])) for i in range(len(text)))
+            assert abs(got[k] - want) < 1e-3 * len(text)
+
+
+def test_mix_targets_equal_a_plain_refill(spark):
+    rng = np.random.default_rng(4)
+    sizes = {f"s{k}": int(x) for k, x in enumerate(rng.integers(1, 5000, 11))} | {None: 700}
+    rows = {r.source: r.target for r in source_schedule.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    names = sorted(n for n in sizes if n is not None) + [None]
+    weight, total, fixed = {n: (5, 2, 1)[k % 3] for k, n in enumerate(names)}, 1.5 * sum(sizes.values()), {}
+    while True:
+        left = (total - sum(fixed.values())) / max(1, sum(weight[n] for n in names if n not in fixed))
+        over = [n for n in names if n not in fixed and left * weight[n] > 2 * sizes[n]]
+        if not over:
+            break
+        fixed |= {n: 2.0 * sizes[n] for n in over}
+    for n in names:
+        assert abs(rows[n] - fixed.get(n, left * weight[n])) < 1e-6 * total

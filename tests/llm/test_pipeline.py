@@ -88,11 +88,46 @@ def test_cotraining_separates_what_both_views_show():
     rng = np.random.default_rng(3)
     truth = rng.integers(0, 2, 400)
     views = [(rng.normal(size=(400, 4)) + truth[:, None]).astype(np.float32) for _ in range(2)]
-    label = np.where(np.arange(400) < 80, truth, -1)
-    model = cotraining.cotrain(views, label)
-    odds = sum(slope * cotraining.margin(x, w) + intercept for x, (w, slope, intercept) in zip(views, model, strict=True))
-    assert ((odds > 0) == truth)[80:].mean() > 0.9
-    assert cotraining.cotrain(views, np.full(400, -1)) is None and cotraining.cotrain(views, np.where(label > 0, 1, -1)) is None
+    free = np.arange(80, 400)
+
+    def certain(weights, taken, n_good, n_bad):
+        for k in (0, 1):
+            left = np.setdiff1d(free, taken[k])
+            order = left[np.argsort(cotraining.margin(views[k][left], weights[k]), kind="stable")]
+            ids = np.concatenate([order[:n_bad], order[-n_good:]])
+            yield np.repeat([0.0, 1.0], [n_bad, n_good]), ids.tolist(), [v[ids] for v in views]
+
+    fitted, prior, least = cotraining.cotrain([v[:80] for v in views], truth[:80], certain, rounds=4, growth=32 / 60)  # 32 rows a view and round
+    odds = cotraining.combined([slope * cotraining.margin(x, w) + intercept for x, (w, slope, intercept) in zip(views, fitted, strict=True)], prior)
+    assert ((odds > 0) == truth)[80:].mean() > 0.9 and 0 < least <= 0.5
+    assert cotraining.cotrain([v[:80] for v in views], np.ones(80, int), certain) is None
+
+
+def test_most_certain_equals_a_plain_search(spark):
+    docs = cotraining.rows_of(spark.read.parquet(f"{SF}/documents.parquet").repartition(5))
+    rng = np.random.default_rng(1)
+    weights = [rng.normal(size=cotraining.TRIGRAMS + 12) * 9, rng.normal(size=cotraining.LANGS + cotraining.SOURCES + cotraining.SIZES + 1)]
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    plain = [{}, {}]
+    for r in rows:
+        body = np.frombuffer((r.text or "").encode(), np.uint8)
+        made = cotraining.content_view(body, np.array([0, len(body)])), cotraining.metadata_view([r.lang], [r.source], [r.n_chars])
+        for k in (0, 1):
+            plain[k][r.doc_id] = float(cotraining.margin(made[k], weights[k])[0])
+    skip = [r.doc_id for r in rows[:10]]
+    found = cotraining.most_certain(docs, weights, [skip, []], 7, 4)
+    for view in (0, 1):
+        for good, most in ((1, 7), (0, 4)):
+            z = {i: (x if good else -x) for i, x in plain[view].items() if not (view == 0 and i in skip)}
+            best = [i for i, x in sorted(z.items(), key=lambda y: (-round(y[1], 4), y[0])) if x > 0][:most]
+            got = found[(found["view"] == view) & (found["good"] == good)]["doc_id"].tolist()
+            assert sorted(round(z[i], 3) for i in got) == sorted(round(z[i], 3) for i in best)
+
+
+def test_the_metadata_view_reads_no_text():
+    assert "text" not in cotraining.metadata_view.__code__.co_varnames
+    a, b = cotraining.metadata_view(["en", None], ["s", "t"], [5, None])
+    assert a.sum() == b.sum() == 3 and (a != b).any()
 
 
 def test_cotraining_odd_inputs(spark):
@@ -105,4 +140,23 @@ def test_cotraining_odd_inputs(spark):
     found = cotraining.classify(docs, some).collect()
     assert len(found) == len(rows) and len({r.quality for r in found if r.doc_id == 4}) == 1
     assert cotraining.keep_good(docs, none).columns == docs.columns
+    assert cotraining.classify(docs.drop("n_chars"), some).count() == len(rows)
     assert cotraining.classify(docs.limit(0), some).count() == 0
+
+
+def test_cotraining_on_held_out_labels(spark):
+    """Fitted on the labels of documents of even id, held against those of odd id."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = cotraining.classify(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id")
+    good, bad = found.where(labels.quality == 1), found.where(labels.quality == 0)
+    assert good.selectExpr("avg(cast(kept as double))").first()[0] > 0.95
+    assert bad.selectExpr("avg(cast(kept as double))").first()[0] < 0.6
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None, None)], [(1, None, "en", None, 0, "x"), (1, None, "en", None, 0, "x"), (2, "", None, "s", None, None), (None, "one two", "en", "s", 7, None), (3, "wort " * 30000, "de", None, 9, "x")]])
+def test_stages_on_odd_tables(spark, rows):
+    """Nulls in every column, empty and long texts, repeated rows, no rows at all, an extra column."""
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() <= 2 * max(len(rows), 100) and (name == "pack" or out.columns == docs.columns)
