@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,3 +65,82 @@ def knockdown(speed: Column, k: float, length: float | None) -> tuple[Column, Co
 
 def size_regime(radius: Column) -> Column:
     return F.when(radius < 10, "small").when(radius < 50, "mesoscale").when(radius >= 50, "large")
+
+
+def depth_to_pressure(depth: Column, latitude: Column | None = None) -> Column:
+    """Decibars; with a latitude by ten Newton steps on `pressure_to_depth`."""
+    d = finite(depth)
+    if latitude is None:
+        return d / METRES_PER_DBAR
+
+    def step(p: Column, _: Column) -> Column:
+        here = pressure_to_depth(p, latitude)
+        return p - (here - d) * 1e-4 / (pressure_to_depth(p + 1e-4, latitude) - here)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(10)), d / METRES_PER_DBAR, step)
+
+
+def sound_speed(temperature: Column, salinity: Column, pressure: Column) -> Column:
+    """Metres a second, by the nine-term polynomial in degrees C, PSU and dbar."""
+    t, s, p = finite(temperature), finite(salinity), finite(pressure)
+    return 1449.2 + ((0.00029 * t - 0.055) * t + 4.6) * t + (1.34 - 0.01 * t) * (s - 35) + 0.016 * p
+
+
+# fixed values: named bands in cycles per hour
+BANDS = {"subtidal": (0.0, 1 / 36), "diurnal": (1 / 28, 1 / 20), "semidiurnal": (1 / 14, 1 / 11), "supertidal": (1 / 6, 0.5), "mesoscale": (1 / 720, 1 / 48), "submesoscale": (1 / 48, 1 / 6)}
+
+
+def frequency_band(name: str, latitude: float = 25.0, width: float = 0.2) -> tuple[float, float]:
+    """A named band in cycles per hour; the inertial one lies around |f| at the latitude."""
+    if name == "inertial":
+        f = 2 * OMEGA * abs(math.sin(math.radians(latitude))) * 3600 / (2 * math.pi)
+        return f * (1 - width), f * (1 + width)
+    if name not in BANDS:
+        raise ValueError(f"unknown band {name}; there are {', '.join(BANDS)}")
+    return BANDS[name]
+
+
+def parabola_vertex(t: tuple[Column, Column, Column], x: tuple[Column, Column, Column]) -> tuple[Column, Column]:
+    """(place, value) of the vertex of the parabola through three points; NULL where they lie on a line."""
+    d1, d2 = ratio(x[1] - x[0], t[1] - t[0]), ratio(x[2] - x[1], t[2] - t[1])
+    a = ratio(d2 - d1, t[2] - t[0])
+    b = d1 - a * (t[0] + t[1])
+    c = x[0] - a * t[0] * t[0] - b * t[0]
+    at = ratio(-b, 2 * a)
+    return at, c + b * at / 2
+
+
+def parabola_value(t: tuple[Column, Column, Column], x: tuple[Column, Column, Column], at: Column) -> Column:
+    """The parabola through three points at another place."""
+    d1, d2 = ratio(x[1] - x[0], t[1] - t[0]), ratio(x[2] - x[1], t[2] - t[1])
+    return x[0] + (at - t[0]) * (d1 + (at - t[1]) * ratio(d2 - d1, t[2] - t[0]))
+
+
+def ellipse_signal(kappa: Column, lam: Column, theta: Column, phi: Column) -> tuple[Column, Column, Column, Column]:
+    """(Re x, Im x, Re y, Im y) of the analytic signal of an ellipse with RMS axis kappa and linearity lam."""
+    a, b = kappa * F.sqrt(1 + F.abs(lam)), F.when(lam < 0, -1).otherwise(1) * kappa * F.sqrt(1 - F.abs(lam))
+    c, s, cp, sp = F.cos(theta), F.sin(theta), F.cos(phi), F.sin(phi)
+    return a * c * cp - b * s * sp, a * c * sp + b * s * cp, a * s * cp + b * c * sp, a * s * sp - b * c * cp
+
+
+def hermitian_eigenvalues(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column]:
+    """Of [[a, c + i d], [c - i d, b]], the larger first; not below 0."""
+    half, gap = (a + b) / 2, F.sqrt(F.greatest((a - b) * (a - b) / 4 + c * c + d * d, F.lit(0.0)))
+    return F.greatest(half + gap, F.lit(0.0)), F.greatest(half - gap, F.lit(0.0))
+
+
+def sphere_position(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """(latitude, longitude) in radians of a point on a sphere around the origin."""
+    r = F.sqrt(x * x + y * y + z * z)
+    return F.asin(F.greatest(F.least(ratio(z, r), F.lit(1.0)), F.lit(-1.0))), F.atan2(y, x)
+
+
+def datenum_to_timestamp(days: Column) -> Column:
+    """A timestamp without zone from days since the year 0, to the millisecond."""
+    millis = F.round((finite(days) - 719529) * 86_400_000).cast("long")
+    return F.timestamp_millis(millis).cast("timestamp_ntz")
+
+
+def effective_frequency(f0: Column, vorticity: Column) -> Column:
+    """Kunze's shift as a signed difference."""
+    return finite(f0) - finite(vorticity)

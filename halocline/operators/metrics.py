@@ -17,7 +17,8 @@ def _mean(x: Column, w: Column) -> Column:
 def metrics(df: DataFrame, obs: str, model: str, by: list[str] | None = None, weight: str | None = None, prefix: str = "") -> DataFrame:
     """One row (a group): the eleven metrics over rows where both values are finite; all NULL with fewer than two.
 
-    Moments are taken about the group's statistics by Spark's own variance and covariance, so large means lose nothing."""
+    Moments are taken about the group's statistics by Spark's own variance and covariance, so large means lose nothing; with
+    weights they are taken about the means of all rows."""
     by = by or []
     rows = df.select(*by, finite(F.col(obs)).alias("o"), finite(F.col(model)).alias("m"), (finite(F.col(weight)) if weight else F.lit(1.0)).alias("w"))
     rows = rows.withColumn("ok", F.col("o").isNotNull() & F.col("m").isNotNull() & F.col("w").isNotNull())
@@ -25,6 +26,10 @@ def metrics(df: DataFrame, obs: str, model: str, by: list[str] | None = None, we
     o, m, w = F.col("o"), F.col("m"), F.col("w")
     d = m - o
     if weight:
+        # Sums of squares far from zero lose their digits: the values are taken about the means of all rows, a single row.
+        centre = rows.agg(F.coalesce(F.avg("o"), F.lit(0.0)).alias("o0__"), F.coalesce(F.avg("m"), F.lit(0.0)).alias("m0__"))
+        rows = rows.crossJoin(F.broadcast(centre)).withColumn("d", d).withColumn("o", F.col("o") - F.col("o0__")).withColumn("m", F.col("m") - F.col("m0__"))
+        d = F.col("d")
         base = rows.groupBy(*by).agg(F.count("o").alias("n"), _mean(d, w).alias("bias"), _mean(F.abs(d), w).alias("mae"), _mean(d * d, w).alias("mse"), _mean(o, w).alias("mo"), _mean(m, w).alias("mm"), _mean(o * o, w).alias("oo"), _mean(m * m, w).alias("m2"), _mean(o * m, w).alias("om"), F.sum(d * d).alias("sse"), F.sum(o * o).alias("so2"), F.sum(o).alias("so"))
         base = base.withColumn("vo", F.greatest(F.col("oo") - F.col("mo") ** 2, F.lit(0.0))).withColumn("vm", F.greatest(F.col("m2") - F.col("mm") ** 2, F.lit(0.0))).withColumn("cov", F.col("om") - F.col("mo") * F.col("mm")).withColumn("sst", F.col("so2") - 2 * F.col("mo") * F.col("so") + F.col("n") * F.col("mo") ** 2)
     else:

@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from halocline import queries
+from halocline import queries, queries_more  # noqa: F401
 from halocline.functions import scalars
 from halocline.operators import metrics
 
@@ -31,7 +31,7 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query(spark, duck, name):
     found = queries.QUERIES[name](spark, SF)
     columns = sorted(found.columns)
