@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from halocline.functions import scalars
-from halocline.operators import sequence, spectral, statistics, vertical, wavelets
+from halocline.operators import colocation, sequence, spectral, statistics, vertical, wavelets
 from halocline.plans import proxies
 from halocline.queries import ORDER, query
 
@@ -270,3 +270,73 @@ def j11_align_by_hour(spark, sf_dir):
     d = proxies.drifters(spark, sf_dir).select("event_id", "series_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
     a, b = d.where("series_id % 2 = 0").select(F.col("event_id").alias("a"), "hour"), d.where("series_id % 2 = 1").select(F.col("event_id").alias("b"), "hour")
     return a.join(b, "hour").select("a", "b", "hour")
+
+
+@query("""WITH x AS (SELECT event_id, CAST(event_id % 30 AS BIGINT) AS t, CAST(greatest(least(ceil(lon * 1.3e0 + 29.7e0 + 98 - 0.5e0), 19), 0) AS BIGINT) AS i, CAST(greatest(least(ceil(lat - 18 - 0.5e0), 14), 0) AS BIGINT) AS j FROM v_drift)
+    SELECT event_id, g.v AS value FROM x LEFT JOIN v_grid g ON g.t = x.t AND g.i = x.i AND g.j = x.j""")
+def j4_nearest_node(spark, sf_dir):
+    """Some points lie outside the grid, where its edge is held."""
+    d = proxies.drifters(spark, sf_dir).select("event_id", (F.col("lon") * 1.3 + 29.7).alias("lon"), "lat", (F.col("event_id") % 30).alias("t"))
+    return colocation.nearest_node(d, proxies.grid(spark), -98.0, 18.0, 1.0, 1.0, ["t"]).select("event_id", "value")
+
+
+@query("""WITH p AS (SELECT event_id, CAST(event_id % 30 AS BIGINT) AS t, lon * 1.3e0 + 29.7e0 + 98 AS x, lat - 18 AS y FROM v_drift), q AS (SELECT *, least(floor(x), 18) AS ci, least(floor(y), 13) AS cj FROM p WHERE x BETWEEN 0 AND 19 AND y BETWEEN 0 AND 14),
+    g AS (SELECT * FROM v_grid WHERE (i + 3 * j + t) % 17 <> 0),
+    r AS (SELECT event_id, sum((CASE WHEN g.i = ci THEN 1 - (x - ci) ELSE x - ci END) * (CASE WHEN g.j = cj THEN 1 - (y - cj) ELSE y - cj END) * g.v) AS value FROM q JOIN g ON g.t = q.t AND g.i BETWEEN ci AND ci + 1 AND g.j BETWEEN cj AND cj + 1 GROUP BY event_id HAVING count(*) = 4)
+    SELECT p.event_id, round(r.value, 6) AS value FROM p LEFT JOIN r ON p.event_id = r.event_id""")
+def j4_bilinear_gaps(spark, sf_dir):
+    """Points outside the grid and beside missing corners have no value."""
+    d = proxies.drifters(spark, sf_dir).select("event_id", (F.col("lon") * 1.3 + 29.7).alias("lon"), "lat", (F.col("event_id") % 30).alias("t"))
+    grid = proxies.grid(spark).where("(i + 3 * j + t) % 17 <> 0")
+    return _r(colocation.bilinear(d, grid, -98.0, 18.0, 1.0, 1.0, ["t"]).select("event_id", "value"), "value")
+
+
+@query("""WITH d AS (SELECT event_id, ts, lon + 98 AS x, lat - 18 AS y FROM v_drift), m AS (SELECT t, TIMESTAMP '2024-01-01 12:00:00' + to_days(CAST(t AS INT)) AS model_ts FROM range(30) r(t)),
+    n AS (SELECT event_id, t, model_ts, row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(ts) - epoch_us(model_ts)), model_ts) AS nr FROM d, m WHERE abs(epoch_us(ts) - epoch_us(model_ts)) <= 6 * 3600000000),
+    q AS (SELECT d.event_id, n.t, n.model_ts, x, y, least(floor(x), 18) AS ci, least(floor(y), 13) AS cj FROM d LEFT JOIN n ON n.event_id = d.event_id AND nr = 1),
+    r AS (SELECT event_id, sum((CASE WHEN g.i = ci THEN 1 - (x - ci) ELSE x - ci END) * (CASE WHEN g.j = cj THEN 1 - (y - cj) ELSE y - cj END) * g.v) AS value FROM q JOIN v_grid g ON g.t = q.t AND g.i BETWEEN ci AND ci + 1 AND g.j BETWEEN cj AND cj + 1 WHERE x BETWEEN 0 AND 19 AND y BETWEEN 0 AND 14 GROUP BY event_id)
+    SELECT q.event_id, q.model_ts, round(r.value, 6) AS value FROM q LEFT JOIN r ON r.event_id = q.event_id""")
+def j2_colocate(spark, sf_dir):
+    times = spark.range(30).select(F.col("id").alias("t"), F.expr("TIMESTAMP_NTZ '2024-01-01 12:00:00' + make_dt_interval(CAST(id AS INT))").alias("model_ts"))
+    found = colocation.colocate(proxies.drifters(spark, sf_dir), proxies.grid(spark), times, (-98.0, 18.0), (1.0, 1.0), 6.0)
+    return _r(found.select("event_id", "model_ts", "value"), "value")
+
+
+_CORNERS = "sum((CASE WHEN g.i = ci THEN 1 - (x - ci) ELSE x - ci END) * (CASE WHEN g.j = cj THEN 1 - (y - cj) ELSE y - cj END) * g.v)"
+
+
+@query(f"""WITH s AS (SELECT n_nationkey AS station, n_nationkey * 0.7e0 AS x, n_nationkey * 0.5e0 AS y FROM nation), q AS (SELECT *, least(floor(x), 18) AS ci, least(floor(y), 13) AS cj FROM s)
+    SELECT station, g.t, round({_CORNERS} * sin(radians(30)) - {_CORNERS} * 2 * cos(radians(30)), 6) AS along FROM q JOIN v_grid g ON g.i BETWEEN ci AND ci + 1 AND g.j BETWEEN cj AND cj + 1 GROUP BY station, g.t""")
+def j8_section(spark, sf_dir):
+    s = proxies.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("station"), (F.col("n_nationkey") * 0.7 - 98).alias("lon"), (F.col("n_nationkey") * 0.5 + 18).alias("lat"))
+    grid = proxies.grid(spark)
+    return _r(colocation.section(grid, grid.withColumn("v", -2 * F.col("v")), s, (-98.0, 18.0), (1.0, 1.0), 30.0).select("station", "t", "along"), "along")
+
+
+@query("""WITH a AS (SELECT i * 0.9e0 + 0.2e0 AS x, j * 1.1e0 + 0.3e0 AS y FROM range(20) p(i), range(12) q(j)), b AS (SELECT *, least(floor(x), 18) AS ci, least(floor(y), 13) AS cj FROM a)
+    SELECT g.t, round(x - 98, 6) AS lon, round(y + 18, 6) AS lat, round(sum((CASE WHEN g.i = ci THEN 1 - (x - ci) ELSE x - ci END) * (CASE WHEN g.j = cj THEN 1 - (y - cj) ELSE y - cj END) * g.v), 6) AS value FROM b JOIN v_grid g ON g.i BETWEEN ci AND ci + 1 AND g.j BETWEEN cj AND cj + 1 GROUP BY g.t, x, y""")
+def j6_regrid(spark, sf_dir):
+    lons, lats = spark.range(20).select((F.col("id") * 0.9 + 0.2 - 98).alias("lon")), spark.range(12).select((F.col("id") * 1.1 + 0.3 + 18).alias("lat"))
+    return _r(colocation.regrid(proxies.grid(spark), lons, lats, (-98.0, 18.0), (1.0, 1.0)).select("t", "lon", "lat", "value"), "lon", "lat", "value")
+
+
+@query("""WITH c AS (SELECT cos(radians(avg(lat))) AS c FROM v_grid), p AS (SELECT event_id AS id, CAST(event_id % 30 AS BIGINT) AS t, lon, lat FROM v_drift),
+    d AS (SELECT p.id, g.v, sqrt(((p.lon - g.lon) * c) ** 2 + (p.lat - g.lat) ** 2) AS d FROM p JOIN v_grid g ON g.t = p.t, c WHERE abs(p.lat - g.lat) <= 3 AND abs(p.lon - g.lon) <= 3), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, v) AS nr, min(d) OVER (PARTITION BY id) AS least FROM d),
+    r AS (SELECT id, sum(v / (d + 1e-10) ** 2) / sum(1 / (d + 1e-10) ** 2) AS value FROM n WHERE nr <= 4 AND least <= 166.5e0 / 111 GROUP BY id) SELECT p.id, round(r.value, 5) AS value FROM p LEFT JOIN r USING (id)""")
+def j5_curvilinear(spark, sf_dir):
+    d = proxies.drifters(spark, sf_dir).select(F.col("event_id").alias("id"), "lon", "lat", (F.col("event_id") % 30).alias("t"))
+    return _r(colocation.curvilinear(d, proxies.grid(spark).select("t", "lon", "lat", "v"), 166.5, 4, ["t"]).select("id", "value"), "value", digits=5)
+
+
+@query("""WITH f AS (SELECT k, 0.1e0 * 1.3e0 ** k AS f, 4.0e0 + k % 7 AS level FROM range(20) r(k)), x AS (SELECT id, level, row_number() OVER (PARTITION BY id ORDER BY abs(f - npoints / 50.0e0), k) AS nr, l FROM v_ridges, f) SELECT id, l * l > level AS significant FROM x WHERE nr = 1""")
+def j16_above_level(spark, sf_dir):
+    levels = spark.range(20).select(F.col("id").alias("place"), (0.1 * F.pow(F.lit(1.3), F.col("id"))).alias("freq"), (4.0 + F.col("id") % 7).alias("level"))
+    r = proxies.ridges(spark, sf_dir).withColumn("freq", F.col("npoints") / 50.0)
+    return colocation.above_level(r, levels, "freq", "l").select("id", "significant")
+
+
+@query("""WITH a AS (SELECT id, snapshot, u * 100 + id / 1e4 AS x FROM v_points WHERE id % 2 = 0), b AS (SELECT id, snapshot, u * 100 + id / 1e4 AS x FROM v_points WHERE id % 2 = 1), p AS (SELECT a.snapshot, a.id AS id_a, b.id AS id_b, abs(a.x - b.x) AS gap FROM a JOIN b ON a.snapshot = b.snapshot AND abs(a.x - b.x) <= 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY snapshot, id_a ORDER BY gap, id_b) AS ra, row_number() OVER (PARTITION BY snapshot, id_b ORDER BY gap, id_a) AS rb FROM p) SELECT snapshot, id_a, id_b, round(gap, 6) AS gap FROM r WHERE ra = 1 AND rb = 1""")
+def j18_mutual_nearest(spark, sf_dir):
+    p = proxies.points(spark, sf_dir).withColumn("x", F.col("u") * 100 + F.col("id") / 1e4)
+    return _r(colocation.mutual_nearest(p.where("id % 2 = 0"), p.where("id % 2 = 1"), ["snapshot"], "x", 2.0), "gap")
