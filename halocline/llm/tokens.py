@@ -18,6 +18,8 @@ import numpy as np
 
 #: Entries of one cache generation; two generations are held at most.
 CACHE_ENTRIES = 200_000
+#: The same for the pieces of words that hold digits or marks.
+PIECE_ENTRIES = 50_000
 #: Longer words are encoded but not kept.
 CACHED_CHARS = 32
 
@@ -26,24 +28,32 @@ class _Whole(Exception):
     """The text has to be encoded in one call."""
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are below U+0100, where the pattern means the same in both libraries."""
+    return text.isascii() or max(text) < "\u0100"
+
+
 class _Words(dict):
     """Ids of words, in two generations: what is not asked for during a whole generation is forgotten.
 
     A word with a full stop or comma is put together from the word's entry and the mark's, and takes none itself."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.entries, self.old = make, entries, {}
         self.marks: dict[str, bytes] = {}
 
     def __missing__(self, key):
-        if key[-1:] in self.marks and max(key) < "\u0100" and key[:-1].isalpha():
-            return self[key[:-1]] + self.marks[key[-1]]
+        mark = self.marks.get(key[-1:])
+        if mark is not None:
+            bare = key[:-1]
+            if bare.isalpha() and (bare.isascii() or _latin(bare)):
+                return self[bare] + mark
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= CACHED_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
@@ -80,7 +90,9 @@ class Encoder:
         # fixed values: the byte-level alphabet shows printable Latin-1 bytes as themselves, the others from U+0100 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte_chars = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*shown}))}
-        self.words = _Words(self._after_space if self.spaced else self._between_spaces)
+        self.space = chr(self.byte_chars[32])
+        self.words = _Words(self._after_space if self.spaced else self._between_spaces, CACHE_ENTRIES)
+        self.pieces = _Words(self._piece, PIECE_ENTRIES)
         self.words.marks = {x: self._piece(x) for x in ".,"}
 
     def _whole(self, text: str) -> bytes:
@@ -88,10 +100,17 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """One pre-token: straight to the merges, as the library does after cutting."""
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.byte_chars))]).tobytes()
+        if piece.isascii() and piece.isprintable():  # in the alphabet only the space looks different
+            return self._merged(piece.replace(" ", self.space))
+        return self._merged(piece.encode().decode("latin-1").translate(self.byte_chars))
+
+    def _merged(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _after_space(self, word: str) -> bytes:
         """A word with the space before it; white space at its head would join that space's piece."""
+        if word.isascii() and word.isalpha():  # most words, the shortest way
+            return self._merged(self.space + word)
         if not word or word[0].isspace():
             raise _Whole
         return self._chunk(" " + word)
@@ -100,12 +119,12 @@ class Encoder:
         return self._chunk(word.lower() if word.isascii() else word) if word else b""
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk and max(chunk) < "\u0100":  # the pattern means the same in both libraries here
+        if chunk and _latin(chunk):
             if not self.spaced:
                 chunk = chunk.lower()
             if chunk[chunk[0] == " " :].isalpha():
                 return self._piece(chunk)
-            return b"".join(map(self._piece, self.pattern.findall(chunk)))
+            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
         return self._whole(chunk)
 
     def encode(self, text: str | None) -> bytes:
