@@ -89,8 +89,9 @@ class Encoder:
         self.model = self.tokenizer.model
         # fixed values: the byte-level alphabet shows printable Latin-1 bytes as themselves, the others from U+0100 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.byte_chars = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*shown}))}
-        self.space = chr(self.byte_chars[32])
+        byte_chars = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*shown}))}
+        self.space = chr(byte_chars[32])
+        self.shown = {c: "".join(chr(byte_chars[b]) for b in chr(c).encode()) for c in range(256)}
         self.words = _Words(self._after_space if self.spaced else self._between_spaces, CACHE_ENTRIES)
         self.pieces = _Words(self._piece, PIECE_ENTRIES)
         self.words.marks = {x: self._piece(x) for x in ".,"}
@@ -99,10 +100,10 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        """One pre-token: straight to the merges, as the library does after cutting."""
+        """One pre-token of characters below U+0100: straight to the merges, as the library does after cutting."""
         if piece.isascii() and piece.isprintable():  # in the alphabet only the space looks different
             return self._merged(piece.replace(" ", self.space))
-        return self._merged(piece.encode().decode("latin-1").translate(self.byte_chars))
+        return self._merged(piece.translate(self.shown))
 
     def _merged(self, shown: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
@@ -116,7 +117,9 @@ class Encoder:
         return self._chunk(" " + word)
 
     def _between_spaces(self, word: str) -> bytes:
-        return self._chunk(word.lower() if word.isascii() else word) if word else b""
+        if word.isascii():
+            return self._merged(word.lower()) if word.isalpha() else self._chunk(word) if word else b""
+        return self._chunk(word)
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk and _latin(chunk):
@@ -127,10 +130,15 @@ class Encoder:
             return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
         return self._whole(chunk)
 
+    def _has_special(self, text: str) -> bool:
+        # A mark such as `<` has no case, so a text without it needs no folding.
+        near = [x for x in self.special if not x[0].isascii() or x[0].isalpha() or x[0] in text]
+        return bool(near) and any(x in folded for folded in [text.lower() if self.folded else text] for x in near)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(x in (text.lower() if self.folded else text) for x in self.special):
+        if self._has_special(text):
             return self._whole(text)
         if not self.spaced:  # white space only separates pieces here
             return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
