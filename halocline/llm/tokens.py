@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 
 #: Entries of one cache generation; two generations are held at most.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 320_000
 #: The same for the pieces of words that hold digits or marks.
 PIECE_ENTRIES = 50_000
 #: Longer words are encoded but not kept.
