@@ -62,7 +62,7 @@ def test_direction_is_below_360(spark):
 
 def test_direction_of_every_event(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").count()
-    assert queries.QUERIES["p9_direction_all"](spark, SF).count() == events
+    assert queries.QUERIES["p9_direction"](spark, SF).count() == events
 
 
 def test_depth_at_a_latitude(spark):
