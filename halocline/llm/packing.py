@@ -1,10 +1,11 @@
 """Packing by cutting-stock column generation.
 
-Documents are cut into pieces of at most `capacity` tokens: whole sequences and one rest. The histogram of the rests over
-length classes (a bounded table, however many documents there are) is a cutting-stock instance. Its linear program is
-solved by the revised simplex method; a knapsack dynamic program over the dual prices makes the columns. The solution
-is rounded down, what remains of each class (fewer pieces than there are patterns and slots) is filled first fit
-decreasing, and the documents of a class, ranked, take the slots of their class in pattern order.
+Documents are cut into pieces of at most `capacity` tokens: whole sequences and one rest. Short rests are strung together
+to bundles, which count as pieces here. The histogram of the pieces over length classes (a bounded table, however many
+documents there are) is a cutting-stock instance. Its linear program is solved by the revised simplex method; a knapsack
+dynamic program over the dual prices makes the columns. The solution is rounded down, what remains of each class (fewer
+pieces than there are patterns and slots) is filled first fit decreasing, and the documents of a class, ranked, take the
+slots of their class in pattern order.
 
 Cases: null and empty texts have the end id alone; equal documents are packed one by one; ties in length are ranked by
 doc_id, start and the piece's number; an empty table gives no rows; extra columns of the input are ignored.
@@ -17,7 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, staged
@@ -147,8 +148,42 @@ def cutting_plan(demand: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return plan + sorted(rest.items(), reverse=True)
 
 
+def _bucket(n_rows: int, rows_each: int) -> Column:
+    """Buckets of some `rows_each` rows by hash, so that no task ranks all rows or a whole class."""
+    return F.pmod(F.xxhash64("piece"), F.lit(max(1, n_rows // rows_each))).cast("int")
+
+
+def _bundled(short: DataFrame, n_rows: int, size: int) -> DataFrame:
+    """Pieces shorter than `size` strung together to bundles of about `size` tokens: `head` (a bundle's first piece), `bundle_length`, `inner` (offset in the bundle)."""
+    rows = short.withColumn("bucket", _bucket(n_rows, 4096))
+    order = Window.partitionBy("bucket").orderBy("doc_id", "start", "piece")
+    rows = rows.withColumn("before", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("bundle", F.floor(F.col("before") / F.lit(size)))
+    whole = Window.partitionBy("bucket", "bundle")
+    rows = rows.withColumn("bundle_length", F.sum("length").over(whole)).withColumn("inner", F.col("before") - F.min("before").over(whole))
+    return rows.withColumn("head", F.min_by("piece", "before").over(whole)).drop("bucket", "before", "bundle")
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
-    """pieces (piece, doc_id, start, length, ...) with sequence_id and offset; at most two rows a key leave a task before the ranking."""
+    """pieces (piece, doc_id, start, length, ...) with sequence_id and offset.
+
+    Rounding to classes would waste much of a short piece, so pieces of under a sixteenth of a sequence are strung
+    together without gaps first, and the plan is made over these bundles and the longer pieces."""
+    size = capacity // 16
+    is_short = F.col("length") < size
+    n_short = pieces.where(is_short).count()
+    if not n_short:
+        return _place(pieces, capacity, grain)
+    short, long = _bundled(pieces.where(is_short), n_short, size), pieces.where(~is_short)
+    key = ["piece", "doc_id", "start", "length"]
+    heads = short.where(F.col("piece") == F.col("head")).withColumn("length", F.col("bundle_length")).select(*key)
+    items = _place(long.select(*key).unionByName(heads), capacity, grain).select(F.col("piece").alias("head"), "sequence_id", "offset")
+    every = short.drop("bundle_length").unionByName(long.withColumn("inner", F.lit(0).cast("long")).withColumn("head", F.col("piece")))
+    return every.join(items, "head").withColumn("offset", F.col("offset") + F.col("inner")).drop("head", "inner")
+
+
+def _place(pieces: DataFrame, capacity: int, grain: int) -> DataFrame:
+    """sequence_id and offset of pieces, by the plan over their length classes."""
     spark = pieces.sparkSession
     units = capacity // grain
     rows = pieces.withColumn("class", F.ceil(F.col("length") / F.lit(grain)).cast("int"))
@@ -164,8 +199,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Da
         base += times
     table = spark.createDataFrame(slots, "class int, first long, times long, base long, pattern int, nth int")  # at most (units + rest) patterns of units slots
     # Ranks within a class, with no task for a whole class: ids are dealt to buckets, whose sizes are summed up first.
-    n_buckets = max(1, int(sum(counts.values()) // 50_000))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("piece"), F.lit(n_buckets)).cast("int"))
+    rows = rows.withColumn("bucket", _bucket(sum(counts.values()), 50_000))
     before = rows.groupBy("class", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = rows.withColumn("nr", F.row_number().over(Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "piece")) - 1).join(before.select("class", "bucket", "before"), ["class", "bucket"])
     ranked = ranked.withColumn("rank", F.col("nr") + F.coalesce("before", F.lit(0)))

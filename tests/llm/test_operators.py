@@ -70,6 +70,18 @@ def test_packing_is_whole_and_gapless(docs, empty):
     assert packing.pack_documents(empty, vocabulary(BYTE_BPE))[1].count() == 0
 
 
+@pytest.mark.parametrize("length, most", [("9", 0.03), ("33", 0.04), ("5 + id % 60", 0.04), ("CASE WHEN id % 3 = 0 THEN 9 ELSE 1 + (id * 7919) % 2048 END", 0.04), ("128", 0.04)])
+def test_short_pieces_are_padded_little(spark, length, most):
+    pieces = spark.range(20_000).selectExpr("id AS piece", "id AS doc_id", "0L AS start", f"CAST({length} AS LONG) AS length", "'x' AS other")
+    rows = sorted((r.sequence_id, r.offset, r.length, r.piece) for r in packing.place(pieces).collect())
+    assert sorted(r[3] for r in rows) == list(range(20_000))
+    filled = {}
+    for sequence, offset, n, _ in rows:
+        assert offset == filled.get(sequence, 0)
+        filled[sequence] = offset + n
+    assert max(filled.values()) <= 2048 and sum(filled.values()) >= (1 - most) * 2048 * len(filled)
+
+
 def test_cutting_plan_covers_the_demand_near_its_bound():
     demand = np.bincount(np.random.default_rng(1).integers(1, 64, 5000), minlength=65)[1:]
     plan = packing.cutting_plan(demand)
