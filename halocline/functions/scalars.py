@@ -45,14 +45,20 @@ def _turn(degrees: Column) -> Column:
     return F.when(turned >= 360, 0.0).otherwise(turned)
 
 
+def _bearing(east: Column, north: Column) -> Column:
+    """In [0, 360). F.atan2 takes -0.0 for 0.0, so the zero vector's angle is set apart, as in IEEE 754: 180 if north is -0.0, else 0."""
+    still = F.when(F.pow(north, F.lit(-1.0)) < 0, 180.0).otherwise(0.0)
+    return F.when((east == 0) & (north == 0), still).otherwise(_turn(F.degrees(F.atan2(east, north))))
+
+
 def direction_towards(u: Column, v: Column) -> Column:
     """Degrees clockwise from north that the current flows to."""
-    return _turn(F.degrees(F.atan2(finite(u), finite(v))))
+    return _bearing(finite(u), finite(v))
 
 
 def direction_from(u: Column, v: Column) -> Column:
     """Degrees clockwise from north that the wind comes from."""
-    return _turn(F.degrees(F.atan2(-finite(u), -finite(v))))
+    return _bearing(-finite(u), -finite(v))
 
 
 def knockdown(speed: Column, k: float, length: float | None) -> tuple[Column, Column, Column]:

@@ -65,6 +65,20 @@ def test_direction_of_every_event(spark):
     assert queries.QUERIES["p9_direction"](spark, SF).count() == events
 
 
+def test_direction_of_currents_without_speed(spark, tmp_path):
+    rows = [(1000 * i + k, k, value) for i, value in enumerate([0.0, -0.0, 5e-324, 1e-300, 2.11, -2.11, 1e300, None]) for k in range(100)]
+    events = spark.createDataFrame([(n, n, value, f'{{"k": {k}}}') for n, k, value in rows], "event_id long, user_id long, value double, props string")
+    events.selectExpr("*", "TIMESTAMP_NTZ '2024-01-01' AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    with duckdb.connect() as connection:
+        connection.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        expected = dict(connection.execute(queries.ORACLE_SQL["p9_direction"]).fetchall())
+    found = {r.event_id: r.towards for r in queries.QUERIES["p9_direction"](spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows) and found == expected
+    assert [found[k] for k in (12, 35, 70, 98)] == [0, 0, 180, 180]
+    zeros = spark.createDataFrame([(u, v) for u in (0.0, -0.0) for v in (0.0, -0.0)], "u double, v double")
+    assert [r[0] for r in zeros.select(scalars.direction_from(zeros.u, zeros.v)).collect()] == [180, 0, 180, 0]
+
+
 def test_depth_at_a_latitude(spark):
     depths = spark.sql("SELECT 10000 AS p, 30 AS lat UNION ALL SELECT 10000, 0")
     found = [r[0] for r in depths.select(scalars.pressure_to_depth(depths.p, depths.lat)).collect()]
