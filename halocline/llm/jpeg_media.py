@@ -274,24 +274,30 @@ def _intervals(total: int, step: int) -> np.ndarray:
     return np.minimum(step, total - np.arange(0, total, step))
 
 
-def thumbnail_hash(images: list[np.ndarray]) -> str:
-    """Dimensions of the first image in pixels, then 64 bits: whether each cell of a 9 x 8 reduction is brighter than its right neighbour."""
-    image = images[0]
+def gradient_bits(image: np.ndarray) -> str:
+    """64 bits over all pixels, in hex: whether each cell of a 9 x 8 reduction is brighter than its right neighbour."""
     high, wide = image.shape
     rows, cols = np.minimum(np.arange(9) * high // 8, high), np.minimum(np.arange(10) * wide // 9, wide)
     sums = np.zeros((high + 1, wide + 1), np.int64)
     sums[1:, 1:] = image.cumsum(0, dtype=np.int64).cumsum(1)
     area = sums[rows[1:]][:, cols[1:]] - sums[rows[:-1]][:, cols[1:]] - sums[rows[1:]][:, cols[:-1]] + sums[rows[:-1]][:, cols[:-1]]
     mean = area / np.maximum(1, np.outer(np.diff(rows), np.diff(cols)))
-    bits = np.packbits(mean[:, :-1] > mean[:, 1:]).tobytes().hex()
-    return f"{8 * wide}x{8 * high}x{len(images)}:{bits}"
+    return np.packbits(mean[:, :-1] > mean[:, 1:]).tobytes().hex()
+
+
+def thumbnail_hash(images: list[np.ndarray]) -> str:
+    """Of every image in order, joined by semicolons: its dimensions in pixels, the number of images, and its gradient bits."""
+    return ";".join(f"{8 * x.shape[1]}x{8 * x.shape[0]}x{len(images)}:{gradient_bits(x)}" for x in images)
 
 
 SCHEMA = "doc_id long, n_bytes long, media binary, width int, height int, n_images int, thumbnail binary, feature string"
 
 
 def store_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media, width, height, n_images, thumbnail, feature): the texts as JPEG files, and what is read back from these."""
+    """(doc_id, n_bytes, media, width, height, n_images, thumbnail, feature): the texts as JPEG files, and what is read back from these.
+
+    width and height are the first image's; feature has those of all.
+    """
 
     def convert(batches):
         for batch in batches:

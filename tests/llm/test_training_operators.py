@@ -185,6 +185,35 @@ def test_media_of_payloads_over_an_image(units):
     assert (np.concatenate([x.ravel() for x in images]) == payload).all()
 
 
+def plain_feature(payload):
+    """The images cut from the payload, and each cell's mean against the next one's, by slices."""
+    parts, found = [payload[a : a + 8191 * 576] for a in range(0, len(payload), 8191 * 576)], []
+    for part in parts:
+        wide = next(w for w in range(24, 577, 24) if len(part) % w == 0 and len(part) // w <= 8191)
+        image = np.frombuffer(part, np.uint8).reshape(-1, wide)
+        high, bits = len(image), ""
+        for r in range(8):
+            cells = [image[r * high // 8 : (r + 1) * high // 8, c * wide // 9 : (c + 1) * wide // 9] for c in range(9)]
+            means = [cell.mean() if cell.size else 0.0 for cell in cells]
+            bits += "".join(str(int(a > b)) for a, b in zip(means, means[1:]))
+        found.append(f"{8 * wide}x{8 * high}x{len(parts)}:{int(bits, 2):016x}")
+    return ";".join(found)
+
+
+def test_media_feature_is_of_the_whole_text(spark):
+    rng = np.random.default_rng(3)
+    head, tails = "".join(map(chr, rng.integers(32, 127, 8191 * 576))), ["".join(map(chr, rng.integers(32, 127, 20 * 576))) for _ in range(2)]
+    texts = ["", "short", head[:40000], head, head + tails[0], head + tails[1], head + tails[0][:-1] + "é", head + head + "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = {r.doc_id: r for r in jpeg_media.digests(jpeg_media.store_media(docs)).collect()}
+    for k, text in enumerate(texts):
+        body = text.encode()
+        payload = body + b"\xff" * (max(1, -(-len(body) // 576)) * 576 - len(body))
+        assert found[k].payload_sha256 == hashlib.sha256(payload).hexdigest()
+        assert found[k].feature == plain_feature(payload) and found[k].n_images == found[k].feature.count(":")
+    assert found[4].feature != found[5].feature
+
+
 PAGE = """<html><head><title>T</title></head><body><header class="site"><h1>Site</h1></header><div id="menu"><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></div><div class="cookie-notice">We use cookies.</div>
 <div class="content"><h2>Title</h2><p>Hello &lt;b&gt; w&ouml;rld &#39;x&#39;<br>next   line<p>Second <a href=z>link</a> paragraph, rather long.</p><div class=ad>Buy now</div><form><input><p>search</p></form><p>Third.</p></div>
 <div id="comments"><article class="comment"><p>Nice post and a long comment by a reader.</p></article></div><footer>(c) me</footer></body></html>"""
